@@ -27,5 +27,39 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.judge(pages).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scans, op5_url_filters)}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over 16 shards of near equal bytes, tokens and rows."""
+    from tidewater.llm import sharding as S
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = S.shard(docs, 16)
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def _fold(m: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(m))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels outside the held-out fold."""
+    from tidewater.llm import ngram_models as M
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_fold(5) != 0)
+    model = M.train_toxicity(docs.join(labels, "doc_id"))
+    scored = M.score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows outside the held-out fold."""
+    from tidewater.llm import ngram_models as M
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = M.train_language(docs.where(_fold(4) != 2))
+    scored = M.predict_language(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op4_secret_scans, op5_url_filters, op8_sharding, op9_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
