@@ -27,7 +27,9 @@ SEGMENT = 1 << 18
 LANG_ORDERS, LANG_BITS, MOST_LANGS = (1, 2, 3), 16, 1024
 TOXIC_ORDERS, TOXIC_BITS = (2, 3, 4, 5), 20
 #: Labelled texts that the toxicity fit takes at most, and characters of them held at once.
-MOST_LABELLED, MOST_CHARS = 6000, 24_000_000
+MOST_LABELLED, MOST_CHARS = 6000, 16_000_000
+#: Features of a smaller log-count ratio, or in fewer labelled texts, get no weight; steps of the fit.
+LEAST_RATIO, LEAST_DOCS, ROUNDS = 0.4, 3, 80
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -183,22 +185,30 @@ def train_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     n = np.array([len(c) for c in cols])
     col, row = np.concatenate(cols), np.repeat(np.arange(len(cols)), n)
     del got, cols
-    p = [1.0 + np.bincount(col, weights=(y == k)[row], minlength=1 << TOXIC_BITS) for k in (1, 0)]
-    ratio = np.log(p[0] / (2.0 + (y == 1).sum())) - np.log(p[1] / (2.0 + (y == 0).sum()))
-    value = (ratio[col] / np.sqrt(np.maximum(1.0, np.bincount(row, weights=ratio[col] ** 2, minlength=len(y))))[row]).astype(np.float32)
-    intercept = 0.0
-    w = np.zeros(1 << TOXIC_BITS)
+    in_1 = np.bincount(col[(y == 1)[row]], minlength=1 << TOXIC_BITS)
+    in_0 = np.bincount(col, minlength=1 << TOXIC_BITS) - in_1
+    ratio = np.log((1.0 + in_1) / (2.0 + (y == 1).sum())) - np.log((1.0 + in_0) / (2.0 + (y == 0).sum()))
+    ratio[(np.abs(ratio) < LEAST_RATIO) | (in_1 + in_0 < LEAST_DOCS)] = 0
+    live = ratio[col] != 0
+    row = row[live].astype(np.int32)
+    used, col = np.unique(col[live], return_inverse=True)
+    col = col.astype(np.int32)
+    value = ratio[used][col]
+    value = (value / np.sqrt(np.maximum(1.0, np.bincount(row, weights=value**2, minlength=len(y))))[row]).astype(np.float32)
+    intercept, w = 0.0, np.zeros(len(used))
     speed, drift, slope, drift0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    for t in range(1, 121):  # full-batch Adam on the balanced log-loss
+    for t in range(1, ROUNDS + 1):  # full-batch Adam on the log-loss
         z = np.bincount(row, weights=w[col] * value, minlength=len(y)) + intercept
-        g = (1 / (1 + np.exp(-z)) - y) * weight
+        g = (1 / (1 + np.exp(-z)) - y) / len(y)
         grad, grad0 = np.bincount(col, weights=g[row] * value, minlength=len(w)) + 1e-7 * w, g.sum()
         speed, drift = 0.9 * speed + 0.1 * grad, 0.99 * drift + 0.01 * grad**2
         slope, drift0 = 0.9 * slope + 0.1 * grad0, 0.99 * drift0 + 0.01 * grad0**2
         rate, fix = 0.3 / (1 - 0.9**t), 1 - 0.99**t
         w -= rate * speed / (np.sqrt(drift / fix) + 1e-9)
         intercept -= rate * slope / (np.sqrt(drift0 / fix) + 1e-9)
+    whole = np.zeros(1 << TOXIC_BITS)
+    whole[used] = w
+    w = whole
     return float(intercept), np.stack([w * ratio, ratio]).astype(np.float32)
 
 
