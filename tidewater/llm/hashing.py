@@ -1,8 +1,8 @@
 """Numpy kernels on text: word boundaries and 64-bit word hashes without a Python loop over words.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text, after A-Z have been
-lower-cased; these bytes never occur inside a multi-byte character. A word's hash is a tabulation
-hash: the sum, modulo 2**64, of a random table entry for each (position, byte), then mixed.
+lower-cased; these bytes never occur inside a multi-byte character. A word's hash is a polynomial,
+modulo 2**64, of random values of its bytes, then mixed; it comes from running sums over the text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 PLAIN = np.ones(256, dtype=bool)
 PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = False
 PLAIN[128:] = False
-TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, size=1 << 16, dtype=np.uint64)
+#: A random value for each byte, equal for A-Z and a-z, and the base of the polynomial over them.
+TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, size=256, dtype=np.uint64)[LOWER]
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_POW = _INV = np.empty(0, np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -31,20 +34,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64, for i up to n; grown on demand, SEGMENT long unless a word is longer."""
+    global _POW, _INV
+    if len(_POW) <= n:
+        steps = np.full((2, n + 1), BASE, np.uint64)
+        steps[1] = pow(int(BASE), -1, 2**64)
+        steps[:, 0] = 1
+        _POW, _INV = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _POW, _INV
+
+
 def _segment(raw: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gap = separators[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+    gap = np.ones(len(raw) + 2, dtype=bool)
+    separators.take(raw, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
-    kept = LOWER[raw[~gap]].astype(np.int64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(len(kept)) - np.repeat(first, lengths)
-    value = TABLE[((at & 255) << 8) | kept]
-    if lengths.max() > 256:
-        value = value * ((at >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    return starts, ends, mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+    power, inverse = _powers(max(len(raw), 4096))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(TABLE.take(raw) * power[: len(raw)], out=total[1:])
+    return starts, ends, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def words(text: bytes, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tidewater.session import table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    from tidewater.llm import packing as K
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = K.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every whole text of documents."""
     from tidewater.llm import secrets as S
@@ -61,5 +72,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scans, op5_url_filters, op8_sharding, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_secret_scans, op5_url_filters, op8_sharding, op9_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
