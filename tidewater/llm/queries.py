@@ -38,6 +38,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.judge(pages).withColumnRenamed("id", "page_id")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 4-word shingles at a Jaccard similarity of 0.85 or more."""
+    from tidewater.llm import jaccard as J
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return J.join(docs, 4, 85, 100).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards of near equal bytes, tokens and rows."""
     from tidewater.llm import sharding as S
@@ -72,5 +80,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_secret_scans, op5_url_filters, op8_sharding, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op8_sharding, op9_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
