@@ -15,7 +15,6 @@ that overlap by the n-gram length less one, so memory is bounded for any text.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ SEGMENT = 1 << 18
 LANG_ORDERS, LANG_BITS, MOST_LANGS = (1, 2, 3), 16, 1024
 TOXIC_ORDERS, TOXIC_BITS = (2, 3, 4, 5), 20
 #: Labelled texts that the toxicity fit takes at most, and characters of them held at once.
-MOST_LABELLED, MOST_CHARS = 6000, 16_000_000
+MOST_LABELLED, MOST_CHARS = 6000, 12_000_000
 #: Features of a smaller log-count ratio, or in fewer labelled texts, get no weight; steps of the fit.
 LEAST_RATIO, LEAST_DOCS, ROUNDS = 0.4, 3, 80
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -151,47 +150,45 @@ def _distinct(text: str, slot: np.ndarray) -> np.ndarray:
     return b[slot[b] == at]
 
 
-def train_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = MOST_LABELLED) -> tuple[float, np.ndarray]:
-    """(intercept, weight of each bucket) from labelled(id, text, label 0/1).
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = MOST_LABELLED) -> tuple[float, np.ndarray]:
+    """(intercept, weight and scale of each bucket) from docs(id, text) and labels(id, label 0/1).
 
-    Where there are more than `most` labelled rows, half of them at most are those of label 1 and the
-    rest of label 0, taken in order of the id's hash; the hash also decides which texts go first into
-    the MOST_CHARS characters that are held.
+    `most` labelled rows are taken at most, half of them of each label, in order of the id's hash, as
+    long as they fit into MOST_CHARS characters (half for each label). Only the picked ids, never the
+    texts of others, leave their tasks.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
-    picked: list[tuple[int, int]] = []
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars")).groupBy("id").agg(F.max("chars").alias("chars")).join(known, "id")
+    whole = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked: dict[int, int] = {}
     for y in (1, 0):
         left = MOST_CHARS // 2
         for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2).collect():
             if r["chars"] <= left:
                 left -= r["chars"]
-                picked.append((r["id"], y))
-    ids = [i for i, _ in picked]
-    weights = np.zeros(1 << TOXIC_BITS)
-    if len({y for _, y in picked}) < 2:
-        share = sum(y for _, y in picked) / max(1, len(picked)) if picked else 0.5
-        return float(np.log((share + 0.01) / (1.01 - share))) if picked else 0.0, weights.astype(np.float32)
+                picked[r["id"]] = y
+    if len(set(picked.values())) < 2:
+        share = (sum(picked.values()) + 0.5) / (len(picked) + 1)
+        return float(np.log(share / (1 - share))), np.zeros((2, 1 << TOXIC_BITS), np.float32)
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = np.zeros(1 << TOXIC_BITS, np.int32)
         for batch in _batches(it):
-            found = [_distinct(x.as_py() or "", slot).tobytes() for x in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "y", "f"])
-
-    each = labelled.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"))
-    got = each.mapInArrow(features, f"id {dict(each.dtypes)['id']}, y int, f binary").toArrow()
-    y = np.array(got.column("y"), dtype=np.float64)
-    cols = [np.frombuffer(x.as_py(), np.int32) for x in got.column("f")]
-    n = np.array([len(c) for c in cols])
-    col, row = np.concatenate(cols), np.repeat(np.arange(len(cols)), n)
-    del got, cols
-    in_1 = np.bincount(col[(y == 1)[row]], minlength=1 << TOXIC_BITS)
-    in_0 = np.bincount(col, minlength=1 << TOXIC_BITS) - in_1
-    ratio = np.log((1.0 + in_1) / (2.0 + (y == 1).sum())) - np.log((1.0 + in_0) / (2.0 + (y == 0).sum()))
-    ratio[(np.abs(ratio) < LEAST_RATIO) | (in_1 + in_0 < LEAST_DOCS)] = 0
-    live = ratio[col] != 0
-    row = row[live].astype(np.int32)
-    used, col = np.unique(col[live], return_inverse=True)
+            yield pa.record_batch([batch.column(0), pa.array([_distinct(x.as_py() or "", slot).tobytes() for x in batch.column(1)], pa.binary())], ["id", "f"])
+
+    each = docs.where(F.col(id_col).isin(list(picked))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = each.mapInArrow(features, f"id {dict(each.dtypes)['id']}, f binary").toArrow().sort_by("id")
+    y = np.array([picked[i] for i in got.column("id").to_pylist()], dtype=np.float64)
+    found = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("f")]
+    seen = np.zeros((2, 1 << TOXIC_BITS))
+    for k, f in zip(y.astype(int), found):
+        seen[k][f] += 1
+    ratio = np.log((1.0 + seen[1]) / (2.0 + (y == 1).sum())) - np.log((1.0 + seen[0]) / (2.0 + (y == 0).sum()))
+    ratio[(np.abs(ratio) < LEAST_RATIO) | (seen.sum(axis=0) < LEAST_DOCS)] = 0
+    found = [f[ratio[f] != 0] for f in found]
+    del got, seen
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+    used, col = np.unique(np.concatenate(found), return_inverse=True)
     col = col.astype(np.int32)
     value = ratio[used][col]
     value = (value / np.sqrt(np.maximum(1.0, np.bincount(row, weights=value**2, minlength=len(y))))[row]).astype(np.float32)
@@ -206,10 +203,10 @@ def train_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
         rate, fix = 0.3 / (1 - 0.9**t), 1 - 0.99**t
         w -= rate * speed / (np.sqrt(drift / fix) + 1e-9)
         intercept -= rate * slope / (np.sqrt(drift0 / fix) + 1e-9)
-    whole = np.zeros(1 << TOXIC_BITS)
-    whole[used] = w
-    w = whole
-    return float(intercept), np.stack([w * ratio, ratio]).astype(np.float32)
+    weight = np.zeros(1 << TOXIC_BITS)
+    weight[used] = w
+    intercept += np.log(whole[1] / whole[0]) - np.log((y == 1).sum() / (y == 0).sum())  # from the picked rows' mixture to that of all labels
+    return float(intercept), np.stack([weight * ratio, ratio]).astype(np.float32)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +216,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        w, ratio = (table, np.ones_like(table)) if table.ndim == 1 else table
+        w, ratio = table
         slot = np.zeros(1 << TOXIC_BITS, np.int32)
         for batch in _batches(it):
             out = []
@@ -232,7 +229,3 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str
 
     each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return each.mapInArrow(score, f"id {dict(each.dtypes)['id']}, score double")
-
-
-def crc32_mod(ids: np.ndarray, m: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(str(int(x)).encode()) % m for x in ids), np.int64, len(ids))

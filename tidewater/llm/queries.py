@@ -65,7 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_fold(5) != 0)
-    model = M.train_toxicity(docs.join(labels, "doc_id"))
+    model = M.train_toxicity(docs, labels)
     scored = M.score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
