@@ -46,6 +46,15 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.join(docs, 4, 85, 100).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half or more of a benchmark item's words in tiles of five words or more."""
+    from tidewater.llm import decontaminate as D
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = D.matches(docs, table(spark, sf_dir, "benchmark"))
+    return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards of near equal bytes, tokens and rows."""
     from tidewater.llm import sharding as S
@@ -80,5 +89,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op8_sharding, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_sharding, op9_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
