@@ -83,10 +83,8 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     if len(hashes) < n:
-        total = np.uint64(len(hashes))
-        for i, h in enumerate(hashes):
-            total = total + h * _MULT[i]
-        return mix(np.array([total], np.uint64))
+        total = np.sum(hashes * _MULT[: len(hashes)], keepdims=True) + np.uint64(len(hashes))
+        return mix(total)
     out = np.zeros(len(hashes) - n + 1, np.uint64)
     for i in range(n):
         out += hashes[i : len(hashes) - n + 1 + i] * _MULT[i]
