@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from tidewater.session import table
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based bigram scores of all documents, learnt outside the held-out fold."""
+    from tidewater.llm import brown_lm as B
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return B.score(docs, _fold(5) == 1).withColumnRenamed("id", "doc_id")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -89,5 +97,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_sharding, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_best_fit_packing, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_sharding, op9_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
