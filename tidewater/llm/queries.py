@@ -27,6 +27,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings at a cosine of 0.95 or more."""
+    from tidewater.llm import hnsw as H
+
+    out = H.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every whole text of documents."""
     from tidewater.llm import secrets as S
@@ -97,5 +105,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_best_fit_packing, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_sharding, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_url_filters, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_sharding, op9_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
