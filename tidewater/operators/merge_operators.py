@@ -14,7 +14,7 @@ def _in_order(v: str, seq: str) -> Column:
 
 def uint64_add(v: str, seq: str) -> Column:
     """Sum modulo 2**64, as DECIMAL(20, 0); the running sum is exact, so ANSI overflow cannot occur."""
-    return F.pmod(F.sum(F.col(v).cast("decimal(20,0)")), F.lit(2**64).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.pmod(F.sum(F.col(v).cast("decimal(20,0)")), F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def greatest(v: str, seq: str) -> Column:
