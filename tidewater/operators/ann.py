@@ -23,11 +23,11 @@ def hnsw(rows: DataFrame, queries: DataFrame, k: int, shards: int, width: int =
     clean = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     left = rows.where(clean).select(shard.alias("shard"), F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    right = queries.where(clean).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query_id").cast("bigint").alias("query_id"), F.col("v").cast("array<double>").alias("qv"))
+    right = queries.where(clean).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query_id").cast("bigint").alias("query_id"), F.col("v").cast("array<double>").alias("qv")).toDF("shard", "query_id", "qv")
 
     def search(key, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(asked):
-            return pd.DataFrame({"query_id": [], "id": [], "v": [], "qv": []})
+            return pd.DataFrame([], columns=["query_id", "id", "v", "qv"], dtype=object)
         x, q = np.stack(pdf["v"].to_numpy()), np.stack(asked["qv"].to_numpy())
         unit = lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
         g = Graph(unit(x), pdf["id"].to_numpy())

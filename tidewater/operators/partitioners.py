@@ -130,7 +130,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
 
     def local(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
-            return pd.DataFrame({"query_id": [], "partition_id": [], "n_sent": [], "neighbors": []})
+            return pd.DataFrame([], columns=["query_id", "partition_id", "n_sent", "neighbors"], dtype=object)
         out = []
         left = left.drop_duplicates("id").sort_values("id") if len(left) else left
         x = np.stack(left["v"].to_numpy()).astype(np.float64) if len(left) else None
@@ -150,8 +150,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
                 out.append([{"dist": a, "id": b} for a, b in top])
         return pd.DataFrame({"query_id": right["query_id"].to_numpy(), "partition_id": key[0], "n_sent": right["n_sent"].to_numpy(), "neighbors": out})
 
-    left = rows.select("partition_id", F.col("id").cast("bigint").alias("id"), "v").where("v is not null")
-    right = queries.select("partition_id", F.col("query_id").cast("bigint").alias("query_id"), "v", "n_sent")
+    left = rows.select("partition_id", F.col("id").cast("bigint").alias("id"), "v").where("v is not null").toDF("partition_id", "id", "v")  # names of their own, should both sides come from one table
+    right = queries.select("partition_id", F.col("query_id").cast("bigint").alias("query_id"), "v", "n_sent").toDF("partition_id", "query_id", "v", "n_sent")
     return left.groupBy("partition_id").cogroup(right.groupBy("partition_id")).applyInPandas(local, f"query_id bigint, partition_id int, n_sent int, neighbors {neighbor}")
 
 
