@@ -26,9 +26,9 @@ SEGMENT = 1 << 18
 LANG_ORDERS, LANG_BITS, MOST_LANGS = (1, 2, 3), 16, 1024
 TOXIC_ORDERS, TOXIC_BITS = (2, 3, 4, 5), 20
 #: Labelled texts that the toxicity fit takes at most, and characters of them held at once.
-MOST_LABELLED, MOST_CHARS = 6000, 12_000_000
+MOST_LABELLED, MOST_CHARS = 6000, 8_000_000
 #: Features of a smaller log-count ratio, or in fewer labelled texts, get no weight; steps of the fit.
-LEAST_RATIO, LEAST_DOCS, ROUNDS = 0.4, 3, 80
+LEAST_RATIO, LEAST_DOCS, ROUNDS, CHUNK_DOCS = 0.4, 3, 80, 256
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -185,19 +185,28 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         seen[k][f] += 1
     ratio = np.log((1.0 + seen[1]) / (2.0 + (y == 1).sum())) - np.log((1.0 + seen[0]) / (2.0 + (y == 0).sum()))
     ratio[(np.abs(ratio) < LEAST_RATIO) | (seen.sum(axis=0) < LEAST_DOCS)] = 0
-    found = [f[ratio[f] != 0] for f in found]
-    del got, seen
-    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
-    used, col = np.unique(np.concatenate(found), return_inverse=True)
-    col = col.astype(np.int32)
-    value = ratio[used][col]
-    value = (value / np.sqrt(np.maximum(1.0, np.bincount(row, weights=value**2, minlength=len(y))))[row]).astype(np.float32)
+    used = np.flatnonzero(ratio)
+    number = np.full(1 << TOXIC_BITS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    chunks = []  # (first row, rows, columns, values) of a few texts each, so that no step holds them all twice
+    for at in range(0, len(found), CHUNK_DOCS):
+        part = [f[number[f] >= 0] for f in found[at : at + CHUNK_DOCS]]
+        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(f) for f in part])
+        flat = np.concatenate(part)
+        value = ratio[flat].astype(np.float32)
+        norm = np.sqrt(np.maximum(1.0, np.bincount(row, weights=value**2, minlength=len(part))))
+        chunks.append((at, row, number[flat], (value / norm[row]).astype(np.float32)))
+    del got, found, seen
     intercept, w = 0.0, np.zeros(len(used))
     speed, drift, slope, drift0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):  # full-batch Adam on the log-loss
-        z = np.bincount(row, weights=w[col] * value, minlength=len(y)) + intercept
-        g = (1 / (1 + np.exp(-z)) - y) / len(y)
-        grad, grad0 = np.bincount(col, weights=g[row] * value, minlength=len(w)) + 1e-7 * w, g.sum()
+        grad, grad0 = 1e-7 * w, 0.0
+        for at, row, col, value in chunks:
+            mine = y[at : at + CHUNK_DOCS]
+            z = np.bincount(row, weights=w[col] * value, minlength=len(mine)) + intercept
+            g = (1 / (1 + np.exp(-z)) - mine) / len(y)
+            grad += np.bincount(col, weights=g[row] * value, minlength=len(w))
+            grad0 += g.sum()
         speed, drift = 0.9 * speed + 0.1 * grad, 0.99 * drift + 0.01 * grad**2
         slope, drift0 = 0.9 * slope + 0.1 * grad0, 0.99 * drift0 + 0.01 * grad0**2
         rate, fix = 0.3 / (1 - 0.9**t), 1 - 0.99**t
