@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.hashing import words
 from tidewater.session import Scratch
 
-HEAD, CLASSES, SWEEPS, BLOCK_BYTES = 768, 32, 8, 16 << 20
+HEAD, CLASSES, SWEEPS, BLOCK_BYTES, WORDS_AT_ONCE = 768, 32, 8, 10 << 20, 1 << 15
 END, UNKNOWN = CLASSES, CLASSES + 1
 #: Stands for the end token among word hashes.
 END_HASH = np.uint64(1)
@@ -84,6 +84,7 @@ def _each(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in it:
         for i in range(batch.num_rows):
             yield {n: batch.column(n)[i] for n in batch.schema.names}
+            pa.default_memory_pool().release_unused()
 
 
 def _array(x, kind) -> np.ndarray:
@@ -203,14 +204,18 @@ def _votes(blocks: DataFrame, head: np.ndarray, of: np.ndarray, pairs: np.ndarra
             right = np.minimum.accumulate(np.where(at >= 0, place, len(at) - 1)[::-1])[::-1]
             tail = np.flatnonzero((at < 0) & train)
             side, size = CLASSES + 1, len(counts)
-            before = np.bincount(tokens[tail] * side + left[tail], minlength=size * side).reshape(size, side).astype(np.float32)
-            score = before @ after[:, :CLASSES].astype(np.float32)
-            behind = np.bincount(tokens[tail] * side + at[right[tail]], minlength=size * side).reshape(size, side).astype(np.float32)
-            score += behind @ after[:CLASSES].T.astype(np.float32)
-            score -= counts[:, None] * share[None, :].astype(np.float32)
-            best = score.argmax(axis=1)
-            top = np.partition(score, -2, axis=1)
-            weight = top[:, -1] - top[:, -2]
+            word, left, right = tokens[tail], left[tail].astype(np.int8), at[right[tail]].astype(np.int8)
+            del tokens, at, place
+            best, weight = np.zeros(size, np.int64), np.zeros(size, np.float32)
+            for a in range(0, size, WORDS_AT_ONCE):
+                some = (word >= a) & (word < a + WORDS_AT_ONCE)
+                w, n = (word[some] - a) * side, min(WORDS_AT_ONCE, size - a)
+                before, behind = (np.bincount(w + x[some], minlength=n * side).reshape(n, side).astype(np.float32) for x in (left, right))
+                score = before @ after[:, :CLASSES].astype(np.float32) + behind @ after[:CLASSES].T.astype(np.float32)
+                score -= counts[a : a + n, None] * share[None, :].astype(np.float32)
+                best[a : a + n] = score.argmax(axis=1)
+                top = np.partition(score, -2, axis=1)
+                weight[a : a + n] = top[:, -1] - top[:, -2]
             best, weight = np.where(known >= 0, cls, best), np.where(known >= 0, 3e38, weight)
             keep = counts > 0
             yield pa.record_batch([pa.array(_array(b["vocabulary"], np.uint64)[keep].view(np.int64)), pa.array(counts[keep]), pa.array(best[keep].astype(np.int32)), pa.array(weight[keep].astype(np.float32))], ["word", "n", "class", "weight"])
