@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-M, WIDTH_BUILD, STEP = 16, 64, 512
+M, WIDTH_BUILD, STEP = 16, 40, 192
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
@@ -51,23 +51,27 @@ class Graph:
         done, seen = np.zeros((n, width), dtype=bool), np.zeros((n, limit), dtype=bool)
         ids[:, 0], score[:, 0] = start, np.einsum("nd,nd->n", q, self.x[start])
         seen[np.arange(n), start] = True
-        live = np.arange(n)
+        live, steps = np.arange(n), max(1, width // 16)  # so many nodes of each beam are followed at once
         while len(live):
             open_ = np.where(done[live] | (ids[live] < 0), -np.inf, score[live])
-            j = open_.argmax(axis=1)
-            go = open_[np.arange(len(live)), j] > -np.inf
-            live, j = live[go], j[go]
+            j = np.argpartition(-open_, steps - 1, axis=1)[:, :steps] if steps < width else np.broadcast_to(np.arange(width), open_.shape)
+            good = np.take_along_axis(open_, j, axis=1) > -np.inf
+            go = good.any(axis=1)
+            live, j, good = live[go], j[go], good[go]
             if not len(live):
                 break
-            done[live, j] = True
-            nb = near[ids[live, j]].astype(np.int64)
+            done[live[:, None], j] |= good
+            nb = np.where(good[:, :, None], near[np.maximum(ids[live[:, None], j], 0)], -1).reshape(len(live), -1).astype(np.int64)
             new = (nb >= 0) & (nb < limit)
             nb = np.where(new, nb, 0)
             new &= ~seen[live[:, None], nb]
             rows, cols = np.nonzero(new)
+            _, once = np.unique(rows * limit + nb[rows, cols], return_index=True)
+            rows, cols = rows[once], cols[once]
             seen[live[rows], nb[rows, cols]] = True
             s = np.full(nb.shape, -np.inf, np.float32)
             s[rows, cols] = np.einsum("nd,nd->n", q[live[rows]], self.x[nb[rows, cols]])
+            new = s > -np.inf
             all_s = np.concatenate([score[live], s], axis=1)
             all_i = np.concatenate([ids[live], np.where(new, nb, -1)], axis=1)
             all_d = np.concatenate([done[live], np.zeros(nb.shape, dtype=bool)], axis=1)
