@@ -14,7 +14,6 @@ that overlap by the n-gram length less one, so memory is bounded for any text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ MOST_LABELLED, MOST_CHARS = 6000, 8_000_000
 #: Features of a smaller log-count ratio, or in fewer labelled texts, get no weight; steps of the fit.
 LEAST_RATIO, LEAST_DOCS, ROUNDS, CHUNK_DOCS = 0.4, 3, 80, 256
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -116,7 +114,7 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
             pred, prob = [], []
             for text in batch.column(1):
                 x = text.as_py()
-                if not langs or x is None or not _LETTER.search(x):
+                if not langs or x is None or not any(map(str.isalpha, x)):
                     pred.append("und")
                     prob.append(0.0)
                     continue
