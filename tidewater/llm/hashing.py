@@ -89,10 +89,3 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out += hashes[i : len(hashes) - n + 1 + i] * _MULT[i]
     return mix(out)
-
-
-def crc_mod(doc_id: np.ndarray, m: int) -> np.ndarray:
-    """crc32 of each id written in decimal, modulo m."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(str(int(x)).encode()) % m for x in doc_id), np.int64, len(doc_id))
