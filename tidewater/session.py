@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Rows that cross to Python at once: texts may be long, and each task holds a batch on both sides.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []
 
 
@@ -19,6 +21,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
+    if spark.conf.get(BATCH, "10000") == "10000":  # Spark's default; another value is the user's own
+        spark.conf.set(BATCH, "2000")
     return spark
 
 
