@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidewater.session import Scratch
 
+#: Up to so many edges go through a round in one task, without exchanges.
+FEW = 10_000
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,6 +41,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     for k in range(1, most_rounds + 1):
         if not seen["n"]:
             break
+        now = now.coalesce(1) if seen["n"] <= FEW else now
         now = scratch.keep(_small(_large(now)), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         found = now.agg(sign.alias("x")).first()["x"]
