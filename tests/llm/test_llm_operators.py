@@ -88,6 +88,27 @@ def test_brown_lm(spark):
     assert all(r["n_known"] == 0 and r["base_score"] == pytest.approx(0) for r in alone)
 
 
+def test_brown_lm_classes_come_from_all_blocks(spark, monkeypatch):
+    """One block or many: the head, the classes and so the scores are the same."""
+    monkeypatch.setattr(brown_lm, "HEAD", 20)
+    docs = table(spark, [prose(i, 12 + i % 9) for i in range(400)])
+    held = F.col("doc_id") % 7 == 0
+    whole, cut = ({r["id"]: r["score"] for r in brown_lm.score(docs.repartition(n, "doc_id"), held).collect()} for n in (1, 40))
+    assert cut == pytest.approx(whole, rel=1e-9)
+
+
+def test_brown_lm_head_counts_all_blocks(spark, monkeypatch):
+    """A word too rare for a report in most blocks is in the head by its whole count."""
+    monkeypatch.setattr(brown_lm, "REPORTED", 10)
+    texts = [" ".join(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 5 + [f"x{i}y{j}" for j in range(40)]) for i in range(12)] + ["dd " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("held", F.lit(False)).repartitionByRange(13, "id")
+    scratch = Scratch(spark, "head")
+    blocks = scratch.keep(brown_lm._blocks(docs, "bigint"), "blocks")
+    for n in (2, 3):  # with 2, the reports' bounds tell which words to count
+        monkeypatch.setattr(brown_lm, "HEAD", n)
+        assert brown_lm._head(blocks, scratch).tolist() == hashing.words(b"aa bb cc")[2][:n].tolist()
+
+
 def test_exchange_finds_classes():
     r = np.random.default_rng(0)
     true = np.arange(40) % 4

@@ -3,7 +3,8 @@
 P(word | before) = P(class | class before) * P(word | class). The commonest HEAD words are put into
 CLASSES classes by the exchange algorithm on their bigram counts (a table of fixed size, on the
 driver); every other word takes the class that one exchange step against those classes gives it,
-from the nearest head words before and after it, computed where the text is. The end token is a class
+from the nearest head words before and after it, counted where the text is and added up over all
+blocks. The end token is a class
 of its own, and so is the unknown word: singletons of the training texts give a share D of their
 mass to it (D = n1 / (n1 + 2 n2)), which smooths emissions; transitions are smoothed towards the
 classes' own frequencies. Nothing that grows with the vocabulary reaches the driver or a broadcast:
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ from tidewater.llm.hashing import words
 from tidewater.session import Scratch
 
 HEAD, CLASSES, SWEEPS, BLOCK_BYTES, WORDS_AT_ONCE = 768, 32, 8, 10 << 20, 1 << 15
-END, UNKNOWN = CLASSES, CLASSES + 1
+END, UNKNOWN, SIDE = CLASSES, CLASSES + 1, CLASSES + 1
+#: Words of so small a share of a block are reported to choose the head from; and so many are counted again at most.
+REPORTED = 50_000
 #: Stands for the end token among word hashes.
 END_HASH = np.uint64(1)
 
@@ -91,16 +95,48 @@ def _array(x, kind) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), kind)
 
 
-def _head(blocks: DataFrame) -> np.ndarray:
-    """Hashes of the HEAD commonest training words, from those that hold 1/50,000 of a block or more."""
+def _head(blocks: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Hashes of the HEAD commonest training words, by their counts over all blocks.
 
-    def common(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Blocks first report words of 1/REPORTED of their tokens or more, and the most that any other word
+    has. From these bounds follows which words can be in the head; only they are counted in full. Where
+    the bounds leave that open to unreported words or to too many, all words are.
+    """
+
+    def reports(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _each(it):
             seen, n = _array(b["vocabulary"], np.uint64), _array(b["counts"], np.int64)
-            keep = (n * 50_000 >= max(1, n.sum())) & (n > 0) & (seen != END_HASH)
-            yield pa.record_batch([pa.array(seen[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
-
-    top = blocks.select("vocabulary", "counts").mapInArrow(common, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+            word = (n > 0) & (seen != END_HASH)
+            keep = word & (n * REPORTED >= max(1, n.sum()))
+            rest = n[word & ~keep].max(initial=0)
+            yield pa.record_batch([pa.array(np.append(seen[keep], END_HASH).view(np.int64)), pa.array(np.append(n[keep], rest))], ["word", "n"])
+
+    def counted(only: np.ndarray | None) -> DataFrame:
+        def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _each(it):
+                seen, n = _array(b["vocabulary"], np.uint64), _array(b["counts"], np.int64)
+                keep = (n > 0) & (seen != END_HASH)
+                if only is not None:
+                    keep &= np.isin(seen, only)
+                yield pa.record_batch([pa.array(seen[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
+
+        return sums(count)
+
+    def sums(f) -> DataFrame:
+        return blocks.select("vocabulary", "counts").mapInArrow(f, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    reported = scratch.keep(sums(reports), "reports")
+    end = int(END_HASH)
+    slack = (reported.where(F.col("word") == end).agg(F.sum("n").alias("n")).first()["n"]) or 0
+    reported = reported.where(F.col("word") != end)
+    top = reported.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    only = None
+    if len(top) == HEAD and top[-1]["n"] > slack:
+        some = reported.where(F.col("n") >= top[-1]["n"] - slack).select("word").limit(REPORTED + 1).collect()
+        if len(some) <= REPORTED:
+            only = np.array([r["word"] for r in some], np.int64).view(np.uint64)
+    top = counted(only).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    scratch.drop("reports")
     return np.array([r["word"] for r in top], np.int64).view(np.uint64)
 
 
@@ -183,44 +219,91 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def _votes(blocks: DataFrame, head: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(word, n, class, weight): training count of each word of each block, and its class there."""
-    one = np.zeros((len(of), CLASSES + 1))
-    one[np.arange(len(of)), of] = 1
-    table = one.T @ pairs @ one + 0.1
-    after = np.log(table / table.sum(axis=1, keepdims=True))
-    share = np.log(table.sum(axis=0)[:CLASSES])
+def _near(blocks: DataFrame, head: np.ndarray, of: np.ndarray) -> DataFrame:
+    """(word, n, near): training count of each word of each block, and the classes beside it there.
+
+    near holds pairs of bytes: a slot (the class before, or SIDE and the class behind) and a count; the
+    counts of a slot that is repeated add up. Words of the head have none.
+    """
 
-    def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _each(it):
             known = _local(b, head)
             tokens, counts = _unpack(b["tokens"].as_buffer()), _array(b["counts"], np.int64)
-            cls = np.where(known >= 0, of[known], -1)
-            at = cls[tokens]
+            at = np.where(known >= 0, of[known], -1)[tokens]
             _, train = _before(tokens, _array(b["held"], bool), _array(b["ends"], np.int64), 0)
             place = np.arange(len(at))
             left = np.maximum.accumulate(np.where(at >= 0, place, -1))
             left = np.where(left >= 0, at[left], END)
             right = np.minimum.accumulate(np.where(at >= 0, place, len(at) - 1)[::-1])[::-1]
             tail = np.flatnonzero((at < 0) & train)
-            side, size = CLASSES + 1, len(counts)
             word, left, right = tokens[tail], left[tail].astype(np.int8), at[right[tail]].astype(np.int8)
             del tokens, at, place
-            best, weight = np.zeros(size, np.int64), np.zeros(size, np.float32)
-            for a in range(0, size, WORDS_AT_ONCE):
+            sizes, pairs = np.zeros(len(counts), np.int64), []
+            for a in range(0, len(counts), WORDS_AT_ONCE):
                 some = (word >= a) & (word < a + WORDS_AT_ONCE)
-                w, n = (word[some] - a) * side, min(WORDS_AT_ONCE, size - a)
-                before, behind = (np.bincount(w + x[some], minlength=n * side).reshape(n, side).astype(np.float32) for x in (left, right))
-                score = before @ after[:, :CLASSES].astype(np.float32) + behind @ after[:CLASSES].T.astype(np.float32)
-                score -= counts[a : a + n, None] * share[None, :].astype(np.float32)
-                best[a : a + n] = score.argmax(axis=1)
-                top = np.partition(score, -2, axis=1)
-                weight[a : a + n] = top[:, -1] - top[:, -2]
-            best, weight = np.where(known >= 0, cls, best), np.where(known >= 0, 3e38, weight)
+                w, n = (word[some] - a) * 2 * SIDE, min(WORDS_AT_ONCE, len(counts) - a)
+                table = np.bincount(w + left[some], minlength=n * 2 * SIDE)
+                table += np.bincount(w + SIDE + right[some], minlength=n * 2 * SIDE)
+                at = np.flatnonzero(table)
+                times = -(-table[at] // 255)
+                last = np.cumsum(times) - 1
+                one = np.full(int(times.sum()), 255, np.uint8)
+                one[last] = table[at] - 255 * (times - 1)
+                at = np.repeat(at, times)
+                sizes[a : a + n] = 2 * np.bincount(at // (2 * SIDE), minlength=n)
+                pairs.append(np.stack([(at % (2 * SIDE)).astype(np.uint8), one], axis=1).tobytes())
             keep = counts > 0
-            yield pa.record_batch([pa.array(_array(b["vocabulary"], np.uint64)[keep].view(np.int64)), pa.array(counts[keep]), pa.array(best[keep].astype(np.int32)), pa.array(weight[keep].astype(np.float32))], ["word", "n", "class", "weight"])
+            ends = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(pairs))])
+            yield pa.record_batch([pa.array(_array(b["vocabulary"], np.uint64)[keep].view(np.int64)), pa.array(counts[keep]), raw], ["word", "n", "near"])
 
-    return blocks.select("held", "ends", "tokens", "vocabulary", "counts").mapInArrow(vote, "word long, n long, class int, weight float")
+    return blocks.select("held", "ends", "tokens", "vocabulary", "counts").mapInArrow(near, "word long, n long, near binary")
+
+
+def _lexicon(blocks: DataFrame, head: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(word, n, class): each training word's count and class, from its neighbours in all blocks."""
+    one = np.zeros((len(of), SIDE))
+    one[np.arange(len(of)), of] = 1
+    table = one.T @ pairs @ one + 0.1
+    after = np.log(table / table.sum(axis=1, keepdims=True))
+    share = np.log(table.sum(axis=0)[:CLASSES])
+    fixed = np.append(head, END_HASH).view(np.int64)
+    by = np.argsort(fixed)
+    fixed, fixed_class = fixed[by], of[by]
+
+    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(word, n, near):
+            score = near[:, :SIDE] @ after[:, :CLASSES] + near[:, SIDE:] @ after[:CLASSES].T - n[:, None] * share[None, :]
+            best = np.round(score, 6).argmax(axis=1)  # equal classes differ by rounding only: the first
+            i = np.minimum(np.searchsorted(fixed, word), len(fixed) - 1)
+            best = np.where(fixed[i] == word, fixed_class[i], best)
+            return pa.record_batch([pa.array(word), pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+        word, n, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2 * SIDE))
+        for batch in it:  # in order of word; the last word of a batch may go on in the next
+            if not batch.num_rows:
+                continue
+            w, raw = np.asarray(batch.column(0)), batch.column(2)
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
+            size = np.asarray(pc.binary_length(raw))
+            flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, 2)
+            slot = np.repeat(group, size // 2) * 2 * SIDE + flat[:, 0]
+            sums = np.bincount(slot, weights=flat[:, 1], minlength=len(first) * 2 * SIDE).reshape(-1, 2 * SIDE)
+            total, w = np.add.reduceat(np.asarray(batch.column(1)), first), w[first]
+            if len(word) and word[0] == w[0]:
+                total[0] += n[0]
+                sums[0] += near[0]
+            elif len(word):
+                yield rows(word, n, near)
+            if len(w) > 1:
+                yield rows(w[:-1], total[:-1], sums[:-1])
+            word, n, near = w[-1:], total[-1:], sums[-1:]
+        if len(word):
+            yield rows(word, n, near)
+
+    return _near(blocks, head, of).repartition("word").sortWithinPartitions("word").mapInArrow(settle, "word long, n long, class int")
 
 
 def _entries(blocks: DataFrame) -> DataFrame:
@@ -243,10 +326,10 @@ def score(documents: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held"))
     key = dict(docs.dtypes)["id"]
     blocks = scratch.keep(_blocks(docs, key), "blocks")
-    head = _head(blocks)
+    head = _head(blocks, scratch)
     pairs = _bigrams(blocks, head)
     of = exchange(pairs)
-    lexicon = scratch.keep(_votes(blocks, head, of, pairs).groupBy("word").agg(F.sum("n").alias("n"), F.max_by("class", F.struct("weight", "class")).alias("class")), "lexicon")
+    lexicon = scratch.keep(_lexicon(blocks, head, of, pairs), "lexicon")
     sums = lexicon.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
     n_all, types, n1, n2 = (sums[k] or 0 for k in ("n", "v", "n1", "n2"))
     d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
