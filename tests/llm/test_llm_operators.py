@@ -190,6 +190,28 @@ def test_hnsw(spark):
     assert hnsw.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_hnsw_audit_is_not_hidden_by_a_hot_group():
+    """A search that finds a hot group but misses the isolated pairs is widened until it finds them."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 32))
+    x[:300] = x[0] + r.normal(size=(300, 32)) * 0.01
+    x[400:410] = x[410:420] + r.normal(size=(10, 32)) * 0.01
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    class Narrow:
+        def __init__(self):
+            self.x = x
+
+        def search(self, q, least, width):
+            rows, nodes = np.nonzero(q @ x.T >= least)
+            own = (q[rows] == x[nodes]).all(axis=1)
+            found = (nodes < 300) | own | (width >= 128)
+            return rows[found], nodes[found]
+
+    rows, nodes, _, width = hnsw.audited(Narrow(), x, 0.95, np.arange(600))
+    assert width == 128 and {(i, i + 10) for i in range(400, 410)} <= set(zip(rows.tolist(), nodes.tolist()))
+
+
 def base_spans(t):
     out = []
     for k, (kind, pattern) in enumerate((("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))):

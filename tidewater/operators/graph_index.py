@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-M, WIDTH_BUILD, STEP = 16, 40, 192
+M, WIDTH_BUILD, STEP = 16, 64, 192
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
