@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import ann, changelog, knn, kv, merge_operators, partitioners
 from tidewater.operators.graph_index import Graph
+from tidewater.streaming.search import SearchProcessor
 
 
 def test_filter_never_leaks_and_matches_brute_force(spark):
@@ -36,6 +37,21 @@ def test_knn_edges(spark):
         knn.nearest(odd, q, 3, time_filter="no")
 
 
+def test_ties_go_to_the_smallest_ids(spark):
+    """A group of equal vectors at the cut, far larger than k: the smallest ids of it."""
+    ids = list(range(300))
+    random.Random(4).shuffle(ids)
+    rows = [(i, [0.3, 0.1, 0.7]) for i in ids] + [(1000 + i, [5.0 + i, 1.0, 0.0]) for i in range(50)]
+    r = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [0.1, 0.2, 0.9])], "query_id long, v array<double>")
+    for metric in ("l2", "cosine"):
+        assert [x["id"] for x in knn.nearest(r, q, 10, metric).orderBy("rank").collect()] == list(range(10))
+        parts = partitioners.search(r.withColumn("partition_id", F.lit(0)), q.withColumns({"partition_id": F.lit(0), "n_sent": F.lit(1)}), 10, metric).first()
+        assert [x["id"] for x in parts["neighbors"]] == list(range(10))
+    live = {i: (np.array(v), 5, i) for i, v in rows}
+    assert [x["id"] for x in SearchProcessor(10)._nearest(live, np.array([0.1, 0.2, 0.9]), 9, 0)] == list(range(10))
+
+
 def test_key_value_equals_dict(spark):
     rng = random.Random(5)
     log, model = [], {}

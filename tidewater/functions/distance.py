@@ -51,3 +51,27 @@ def kernel(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return q[:, None] + r[None, :] - 2 * product
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.nan_to_num(1.0 - product / np.sqrt(q[:, None] * r[None, :]), nan=np.inf)
+
+
+def exact(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of pairs, added up in the order of the column expressions, so that ties are the same."""
+    qr, qq, rr = (np.zeros(len(rows)) for _ in range(3))
+    for x, y in zip(queries.T, rows.T):
+        if metric == "l2":
+            qr += (x - y) * (x - y)
+            continue
+        qr += x * y
+        if metric == "cosine":
+            qq += x * x
+            rr += y * y
+    if metric == "l2":
+        return qr
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1.0 - (qr / np.sqrt(qq * rr) if metric == "cosine" else qr)
+
+
+def slack(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each query, how far two kernel() distances may be in the wrong order by rounding."""
+    unit = 16 * (queries.shape[1] + 8) * np.finfo(np.float64).eps
+    q, r = np.sqrt(np.einsum("nd,nd->n", queries, queries)), np.sqrt(np.einsum("nd,nd->n", rows, rows).max(initial=0.0))
+    return unit * {"l2": (q + r) ** 2, "ip": 1 + q * r, "cosine": np.ones(len(q))}[metric]

@@ -1,8 +1,8 @@
 """k-nearest-neighbour search: exact, with time to live, as of a time, filtered, and per partition.
 
 The stated queries meet all rows in blocks of at most QUERY_BLOCK: a block is broadcast (its size is
-bounded), each task keeps its own best candidates by matrix products, and only those are compared
-again in double precision by column expressions and ranked. One narrow pass over the rows, then a
+bounded), each task chooses candidates by matrix products, compares all that are at the k-th distance
+or under it, within rounding, again in double precision and keeps its k first by (dist, id). One narrow pass over the rows, then a
 shuffle of k * queries candidates from each task.
 """
 
@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.distance import distance, kernel
+from tidewater.functions.distance import distance, exact, kernel, slack
 
-QUERY_BLOCK, EXTRA, FOREVER = 8192, 8, 2**62
+QUERY_BLOCK, PAIRS, FOREVER = 8192, 1 << 18, 2**62
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +31,18 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good], ok
 
 
+def _ranks(ids: pa.Array) -> np.ndarray:
+    return np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)
+
+
+def _first(query: np.ndarray, dist: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k first of each query by (dist, rank)."""
+    by = np.lexsort((rank, dist, query))
+    q = query[by]
+    start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.empty(0, np.int64)
+    return by[np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k]
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", *, time_filter: str = "none", scope: str = "per_query") -> DataFrame:
     """(query_id, rank, id, dist): the k nearest rows of each query, ties by id.
 
@@ -77,16 +90,13 @@ def _block(rows: DataFrame, part: DataFrame, k: int, metric: str, time_filter: s
     else:
         at = low = np.zeros(len(ids))
     shared = rows.sparkSession.sparkContext.broadcast((qm, at, low))
-    wanted = k + EXTRA
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qm, at, low = shared.value
         if not len(qm):
             return
-        best_d, best_i, best_v = np.full((len(qm), 0), np.inf), np.empty((len(qm), 0), object), np.empty((len(qm), 0, dim))
-        kind = None
+        query, dist, near, ids = np.empty(0, np.int64), np.empty(0), np.empty((0, dim)), None
         for whole in it:
-            kind = whole.schema.field(0).type
             for i in range(0, whole.num_rows, 4096):
                 batch = whole.slice(i, 4096)
                 m, good = _matrix(batch.column(1), dim)
@@ -99,19 +109,31 @@ def _block(rows: DataFrame, part: DataFrame, k: int, metric: str, time_filter: s
                     seen = (ts[None, :] <= at[:, None]) & (at[:, None] < to[None, :])
                     seen &= ts[None, :] >= low[:, None] if time_filter == "ge" else ts[None, :] > low[:, None]
                     d = np.where(seen, d, np.inf)
-                names = np.array(batch.column(0).to_pylist(), dtype=object)[good]
-                top = np.argpartition(d, wanted - 1, axis=1)[:, :wanted] if d.shape[1] > wanted else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-                best_d = np.concatenate([best_d, np.take_along_axis(d, top, axis=1)], axis=1)
-                best_i = np.concatenate([best_i, names[top]], axis=1)
-                best_v = np.concatenate([best_v, m[top]], axis=1)
-                if best_d.shape[1] > wanted:
-                    top = np.argpartition(best_d, wanted - 1, axis=1)[:, :wanted]
-                    best_d, best_i = np.take_along_axis(best_d, top, axis=1), np.take_along_axis(best_i, top, axis=1)
-                    best_v = np.take_along_axis(best_v, top[:, :, None], axis=1)
-        if kind is None:
-            return
-        r, c = np.nonzero(np.isfinite(best_d))
-        yield pa.record_batch([pa.array(r.astype(np.int32)), pa.array(best_i[r, c].tolist(), kind), pa.array(list(best_v[r, c]), pa.list_(pa.float64()))], ["at", "id", "v"])
+                names = batch.column(0).filter(pa.array(good))
+                ranks = _ranks(names)
+                cut = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                last = np.full(len(d), np.inf)  # the k-th distance so far
+                full = np.bincount(query, minlength=len(d)) == k
+                np.maximum.at(worst := np.full(len(d), -np.inf), query, dist)
+                last[full] = worst[full]
+                r, c = np.nonzero((d <= (np.minimum(cut, last) + slack(metric, qm, m))[:, None]) & np.isfinite(d))
+                del d
+                new = []
+                for a in range(0, len(r), PAIRS):  # every row at the cut takes part, however many are tied
+                    some = slice(a, a + PAIRS)
+                    e = np.concatenate([exact(metric, qm[x], m[y]) for x, y in zip(*(np.array_split(z[some], 8) for z in (r, c)))])
+                    top = _first(r[some], e, ranks[c[some]], k)
+                    new.append((r[some][top], c[some][top], e[top]))
+                if not new:
+                    continue
+                r, c, e = (np.concatenate(x) for x in zip(*new))
+                taken = names.take(pa.array(c))
+                ids = taken if ids is None else pa.concat_arrays([ids, taken])
+                query, dist, near = np.concatenate([query, r]), np.concatenate([dist, e]), np.concatenate([near, m[c]])
+                top = _first(query, dist, _ranks(ids), k)
+                query, dist, near, ids = query[top], dist[top], near[top], ids.take(pa.array(top))
+        if ids is not None:
+            yield pa.record_batch([pa.array(query.astype(np.int32)), ids, pa.array(list(near), pa.list_(pa.float64()))], ["at", "id", "v"])
 
     near = rows.mapInArrow(search, f"at int, id {key}, v array<double>")
     spark = rows.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import lsh
-from tidewater.functions.distance import kernel, l2_squared
+from tidewater.functions.distance import exact, kernel, l2_squared, slack
 
 
 def every(n: int) -> Column:
@@ -135,18 +135,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
         left = left.drop_duplicates("id").sort_values("id") if len(left) else left
         x = np.stack(left["v"].to_numpy()).astype(np.float64) if len(left) else None
         q = np.stack(right["v"].to_numpy()).astype(np.float64)
+        room = slack(metric, q, x) if x is not None else None
         for i in range(0, len(q), 512):
             for j, d in enumerate(kernel(metric, q[i : i + 512], x) if x is not None else [None] * len(q[i : i + 512])):
                 if d is None:
                     out.append([])
                     continue
-                near = np.argpartition(d, k + 7)[: k + 8] if len(d) > k + 8 else np.arange(len(d))
-                y = q[i + j]
-                if metric == "l2":
-                    exact = [float(sum((a - b) * (a - b) for a, b in zip(y.tolist(), x[c].tolist()))) for c in near]
-                else:
-                    exact = d[near].tolist()
-                top = sorted(zip(exact, left["id"].to_numpy()[near].tolist()))[:k]
+                cut = np.partition(d, k - 1)[k - 1] + room[i + j] if len(d) > k else np.inf
+                near = np.flatnonzero(d <= cut)  # all that are tied at the cut
+                dist = np.concatenate([exact(metric, np.broadcast_to(q[i + j], (len(c), q.shape[1])), x[c]) for c in np.array_split(near, 1 + len(near) // 32768)])
+                dist = np.where(np.isfinite(d[near]), dist, d[near])
+                names = left["id"].to_numpy()[near]
+                by = np.lexsort((names, dist))[:k]
+                top = zip(dist[by].tolist(), names[by].tolist())
                 out.append([{"dist": a, "id": b} for a, b in top])
         return pd.DataFrame({"query_id": right["query_id"].to_numpy(), "partition_id": key[0], "n_sent": right["n_sent"].to_numpy(), "neighbors": out})
 

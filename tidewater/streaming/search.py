@@ -72,7 +72,7 @@ class SearchProcessor(StatefulProcessor):
             return []
         x = np.stack([live[i][0] for i in ids])
         d = ((x - q) ** 2).sum(axis=1)
-        top = np.argpartition(d, self.k)[: self.k + 8] if len(d) > self.k + 8 else np.arange(len(d))
+        top = np.flatnonzero(d <= np.partition(d, self.k - 1)[self.k - 1] * (1 + 1e-9)) if len(d) > self.k else np.arange(len(d))  # all that are tied at the cut
         near = sorted((float(sum((a - b) * (a - b) for a, b in zip(q.tolist(), x[j].tolist()))), int(ids[j])) for j in top)
         return [{"dist": a, "id": b} for a, b in near[: self.k]]
 
