@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i up to n; grown on demand, SEGMENT long unless a word is longer."""
     global _POW, _INV
     if len(_POW) <= n:
@@ -52,7 +52,7 @@ def _segment(raw: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
-    power, inverse = _powers(max(len(raw), 4096))
+    power, inverse = powers(max(len(raw), 4096))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(TABLE.take(raw) * power[: len(raw)], out=total[1:])
     return starts, ends, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

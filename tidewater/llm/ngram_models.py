@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 1 << 18
 LANG_ORDERS, LANG_BITS, MOST_LANGS = (1, 2, 3), 16, 1024
 TOXIC_ORDERS, TOXIC_BITS = (2, 3, 4, 5), 20
-#: Labelled texts that the toxicity fit takes at most, and characters of them held at once.
-MOST_LABELLED, MOST_CHARS = 6000, 8_000_000
+#: Bounds of the sample that the toxicity fit takes: labelled rows, and characters of their texts.
+MOST_LABELLED, MOST_CHARS = 6000, 16_000_000
 #: Features of a smaller log-count ratio, or in fewer labelled texts, get no weight; steps of the fit.
 LEAST_RATIO, LEAST_DOCS, ROUNDS, CHUNK_DOCS = 0.4, 3, 80, 256
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -148,36 +148,8 @@ def _distinct(text: str, slot: np.ndarray) -> np.ndarray:
     return b[slot[b] == at]
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = MOST_LABELLED) -> tuple[float, np.ndarray]:
-    """(intercept, weight and scale of each bucket) from docs(id, text) and labels(id, label 0/1).
-
-    `most` labelled rows are taken at most, half of them of each label, in order of the id's hash, as
-    long as they fit into MOST_CHARS characters (half for each label). Only the picked ids, never the
-    texts of others, leave their tasks.
-    """
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars")).groupBy("id").agg(F.max("chars").alias("chars")).join(known, "id")
-    whole = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked: dict[int, int] = {}
-    for y in (1, 0):
-        left = MOST_CHARS // 2
-        for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2).collect():
-            if r["chars"] <= left:
-                left -= r["chars"]
-                picked[r["id"]] = y
-    if len(set(picked.values())) < 2:
-        share = (sum(picked.values()) + 0.5) / (len(picked) + 1)
-        return float(np.log(share / (1 - share))), np.zeros((2, 1 << TOXIC_BITS), np.float32)
-
-    def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.zeros(1 << TOXIC_BITS, np.int32)
-        for batch in _batches(it):
-            yield pa.record_batch([batch.column(0), pa.array([_distinct(x.as_py() or "", slot).tobytes() for x in batch.column(1)], pa.binary())], ["id", "f"])
-
-    each = docs.where(F.col(id_col).isin(list(picked))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = each.mapInArrow(features, f"id {dict(each.dtypes)['id']}, f binary").toArrow().sort_by("id")
-    y = np.array([picked[i] for i in got.column("id").to_pylist()], dtype=np.float64)
-    found = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("f")]
+def _fit(found: list[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray]:
+    """(intercept, weight and scale of each bucket) of the texts' distinct buckets and labels; both labels occur."""
     seen = np.zeros((2, 1 << TOXIC_BITS))
     for k, f in zip(y.astype(int), found):
         seen[k][f] += 1
@@ -186,25 +158,27 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     used = np.flatnonzero(ratio)
     number = np.full(1 << TOXIC_BITS, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    chunks = []  # (first row, rows, columns, values) of a few texts each, so that no step holds them all twice
-    for at in range(0, len(found), CHUNK_DOCS):
-        part = [f[number[f] >= 0] for f in found[at : at + CHUNK_DOCS]]
-        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(f) for f in part])
-        flat = np.concatenate(part)
-        value = ratio[flat].astype(np.float32)
-        norm = np.sqrt(np.maximum(1.0, np.bincount(row, weights=value**2, minlength=len(part))))
-        chunks.append((at, row, number[flat], (value / norm[row]).astype(np.float32)))
-    del got, found, seen
+    scale = ratio[used]
+    for i, f in enumerate(found):  # a feature's value is its scale over the text's norm, so its number is all that is kept
+        f = number[f]
+        found[i] = f[f >= 0]
+    size = np.array([len(f) for f in found])
+    norm = np.array([np.sqrt(max(1.0, (scale[f] ** 2).sum())) for f in found])
+    chunks = [(at, np.concatenate(found[at : at + CHUNK_DOCS])) for at in range(0, len(found), CHUNK_DOCS)]
+    found.clear()
     intercept, w = 0.0, np.zeros(len(used))
     speed, drift, slope, drift0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):  # full-batch Adam on the log-loss
-        grad, grad0 = 1e-7 * w, 0.0
-        for at, row, col, value in chunks:
-            mine = y[at : at + CHUNK_DOCS]
-            z = np.bincount(row, weights=w[col] * value, minlength=len(mine)) + intercept
+        grad, grad0, scaled = np.zeros_like(w), 0.0, w * scale
+        for at, col in chunks:
+            mine, n, long = y[at : at + CHUNK_DOCS], size[at : at + CHUNK_DOCS], norm[at : at + CHUNK_DOCS]
+            sums = np.concatenate(([0.0], np.cumsum(scaled[col])))
+            ends = np.cumsum(n)
+            z = (sums[ends] - sums[ends - n]) / long + intercept
             g = (1 / (1 + np.exp(-z)) - mine) / len(y)
-            grad += np.bincount(col, weights=g[row] * value, minlength=len(w))
+            grad += np.bincount(col, weights=np.repeat(g / long, n), minlength=len(w))
             grad0 += g.sum()
+        grad = grad * scale + 1e-7 * w
         speed, drift = 0.9 * speed + 0.1 * grad, 0.99 * drift + 0.01 * grad**2
         slope, drift0 = 0.9 * slope + 0.1 * grad0, 0.99 * drift0 + 0.01 * grad0**2
         rate, fix = 0.3 / (1 - 0.9**t), 1 - 0.99**t
@@ -212,10 +186,85 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         intercept -= rate * slope / (np.sqrt(drift0 / fix) + 1e-9)
     weight = np.zeros(1 << TOXIC_BITS)
     weight[used] = w
-    intercept += np.log(whole[1] / whole[0]) - np.log((y == 1).sum() / (y == 0).sum())  # from the picked rows' mixture to that of all labels
     return float(intercept), np.stack([weight * ratio, ratio]).astype(np.float32)
 
 
+def _picked(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, y, text) of the labelled rows that the fit takes, and (id, y) of all labels."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    chars = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("chars")).groupBy("id").agg(F.max("chars").alias("chars"))
+    rows = chars.join(known, "id").withColumn("h", F.xxhash64("id"))
+    first = [rows.where(F.col("y") == y).orderBy("h", "id").limit(most // 2) for y in (0, 1)]
+    so_far = Window.partitionBy("y").orderBy("h", "id")  # most / 2 rows at most
+    place, total = F.row_number().over(so_far), F.sum("chars").over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+    some = first[0].unionByName(first[1]).withColumns({"k": place, "total": total}).where((F.col("k") == 1) | (F.col("total") <= MOST_CHARS // 2)).select("id", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    return texts.groupBy("id", "y").agg(F.min("text").alias("text")), known
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = MOST_LABELLED) -> tuple[float, np.ndarray]:
+    """(intercept, weight and scale of each bucket) from docs(id, text) and labels(id, label 0/1).
+
+    `most` labelled rows are taken at most, half of them of each label, in order of the id's hash, up
+    to MOST_CHARS characters (half for each label; the first row of a label whatever its length). Of
+    rows of one id the least text counts, and label 1 before 0. Features are made where the texts are;
+    one task fits them, so that the driver holds nothing but the model.
+    """
+    texts, known = _picked(docs, labels, most, id_col, text_col, label_col)
+    whole = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+    def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = np.zeros(1 << TOXIC_BITS, np.int32)
+        for batch in _batches(it, 64):
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([_distinct(x.as_py(), slot).tobytes() for x in batch.column(2)], pa.binary())], ["h", "y", "f"])
+
+    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, y, found = [], [], []
+        for batch in it:
+            order += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+            found += [np.frombuffer(x.as_py(), np.int32) for x in batch.column(2)]
+        by = np.argsort(np.array(order, np.int64), kind="stable")  # sums do not depend on how rows arrive
+        y, found = np.array(y, dtype=np.float64)[by], [found[i] for i in by]
+        n = [int((y == k).sum()) for k in (0, 1)]
+        model = _fit(found, y) if min(n) else (0.0, np.zeros((2, 1 << TOXIC_BITS), np.float32))
+        yield pa.record_batch([pa.array([model[0]]), pa.array([model[1].tobytes()], pa.binary()), *[pa.array([k]) for k in n]], ["intercept", "table", "n0", "n1"])
+
+    each = texts.select(F.xxhash64("id").alias("h"), "y", "text").mapInArrow(features, "h long, y int, f binary")
+    got = each.repartition(1).mapInArrow(fit, "intercept double, table binary, n0 long, n1 long").collect()  # one row
+    if not got or not got[0]["n0"] or not got[0]["n1"]:
+        n0, n1 = (got[0]["n0"], got[0]["n1"]) if got else (0, 0)
+        share = (n1 + 0.5) / (n0 + n1 + 1)
+        return float(np.log(share / (1 - share))), np.zeros((2, 1 << TOXIC_BITS), np.float32)
+    one = got[0]
+    shift = np.log(whole[1] / whole[0]) - np.log(one["n1"] / one["n0"])  # from the picked rows' mixture to that of all labels
+    return float(one["intercept"] + shift), np.frombuffer(one["table"], np.float32).reshape(2, -1)
+
+
+def _toxic(texts: pa.Array, intercept: float, w: np.ndarray, ratio: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    out = np.empty(len(texts))
+    for i, x in enumerate(texts):
+        b = _distinct(x.as_py() or "", slot)
+        r = ratio[b].astype(np.float64)
+        z = intercept + w[b].sum(dtype=np.float64) / np.sqrt(max(1.0, float(r @ r)))
+        out[i] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return out
+
+
+def drop_toxic(docs: DataFrame, model: tuple[float, np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below `least`; each row is judged by its own text."""
+    intercept, at = model[0], docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model[1])  # 2**TOXIC_BITS floats, twice
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, ratio = shared.value
+        slot = np.zeros(1 << TOXIC_BITS, np.int32)
+        for batch in _batches(it):
+            yield batch.filter(pa.array(_toxic(batch.column(at), intercept, w, ratio, slot) < least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): the probability of label 1."""
     intercept = model[0]
@@ -226,13 +275,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str
         w, ratio = table
         slot = np.zeros(1 << TOXIC_BITS, np.int32)
         for batch in _batches(it):
-            out = []
-            for x in batch.column(1):
-                b = _distinct(x.as_py() or "", slot)
-                r = ratio[b].astype(np.float64)
-                z = intercept + w[b].sum(dtype=np.float64) / np.sqrt(max(1.0, float(r @ r)))
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], ["id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(_toxic(batch.column(1), intercept, w, ratio, slot))], ["id", "score"])
 
     each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return each.mapInArrow(score, f"id {dict(each.dtypes)['id']}, score double")

@@ -1,19 +1,22 @@
 """Secret scans: fixed patterns, and character Markov models that tell random strings from identifiers.
 
 All of it is DataFrame expressions. A candidate string is scored by the log-likelihood ratio of two
-first-order Markov models over a 67-symbol alphabet, one trained on strings labelled random and one
-on strings labelled ordinary, with add-one smoothing; the ratios form one 67 x 67 table (a fixed
+first-order Markov models over a 68-symbol alphabet, one trained on strings labelled random and one
+on strings labelled ordinary, with add-one smoothing; the ratios form one 68 x 68 table (a fixed
 size, whatever the data) that is written into the plan as a literal.
 
-Defined results: a null or empty text has no span; repeated rows are scanned each for itself; ids
-may repeat only if the caller accepts that their spans are told apart by the whole row's position
-(the operator numbers nothing, it groups by id, so give unique ids); an empty table gives an empty
-result; other columns of the input are ignored.
+A document's spans are one expression of its own text: positions are running sums over the pieces
+between matches, so no join, window or shuffle is needed, and ids are carried along, never compared.
+
+Defined results: a null or empty text has no span; rows are scanned each for itself, whether or not
+their ids or texts repeat; an empty table gives an empty result; other columns are ignored. Matches
+that start at one place are ordered by kind as listed, then by end. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,7 +50,7 @@ def _transitions(samples: DataFrame) -> DataFrame:
 def train(samples: DataFrame) -> list[float]:
     """samples(text, label 1 random / 0 ordinary) -> SIDE * SIDE log-likelihood ratios of a symbol after another."""
     count = [[[1.0] * SIDE for _ in range(SIDE)] for _ in range(2)]
-    for r in _transitions(samples.where("text is not null and label in (0, 1)")).collect():  # 2 * 67 * 67 rows at most
+    for r in _transitions(samples.where("text is not null and label in (0, 1)")).collect():  # 2 * 68 * 68 rows at most
         count[r["label"]][r["a"] - 1][r["b"] - 1] += r["n"]
     return [math.log(count[1][a][b] / sum(count[1][a])) - math.log(count[0][a][b] / sum(count[0][a])) for a in range(SIDE) for b in range(SIDE)]
 
@@ -72,52 +75,75 @@ def ordinary_samples(docs: DataFrame, id_col: str, text_col: str, most_docs: int
     return paired.select(F.explode(forms).alias("text"), F.lit(0).alias("label"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(sizes: Column) -> Column:
+    """Running sums of an array, in chunks of about the root of its length, so that no long array is copied at each step."""
+
+    def summed(part: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out")))
+
+    def whole(x: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(x))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / side).cast("int")), lambda c: summed(F.slice(x, c * side + 1, side)))
+        return _let(chunks, lambda cs: _let(summed(F.transform(cs, lambda c: c["at"]))["out"], lambda ends: F.flatten(F.zip_with(cs, ends, lambda c, end: F.transform(c["out"], lambda at: at + end - c["at"])))))
+
+    return _let(sizes, lambda x: F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(whole(x)))
+
+
 def _ratio(value: Column, table: Column) -> Column:
-    steps = F.sequence(F.lit(1), F.length(value) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.element_at(table, (_code(F.substring(value, i, F.lit(1))) * SIDE + _code(F.substring(value, i + 1, F.lit(1))) + 1).cast("int")))
+    """The log-likelihood ratio of a string: the sum over its pairs of neighbouring symbols."""
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+    step = lambda s, c: F.struct(c.alias("before"), F.when(s["before"] < 0, F.lit(0.0)).otherwise(s["sum"] + F.element_at(table, s["before"] * SIDE + c + 1)).alias("sum"))
+    return F.aggregate(F.transform(F.split(value, ""), lambda c: _code(c)), start, step)["sum"]
+
+
+_NONE = "array<struct<start:bigint,rank:int,kind:string,end:bigint,part:string>>"
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
-    """Per match: the characters between it and the match before, its length, whether it counts."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else whole
-    rows = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), judged.alias("part")), lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["part"].alias("part")))
-    return F.when(text.rlike(pattern), F.filter(rows, lambda x: x["hit"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,gap:int,hit:int,part:string>>"))
+    """All matches of one pattern, with the part of each that is judged."""
+
+    def placed(hits: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else hits
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        each = F.arrays_zip(hits.alias("hit"), parts.alias("part"), _running(sizes).alias("end"))
+        return F.transform(each, lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), F.lit(KINDS.index(kind) + 1).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["part"].alias("part")))
+
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(F.array().cast(_NONE))
 
 
-def spans(docs: DataFrame, table: list[float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind, start, end) of every span in code points, end exclusive.
+def found(text: Column, table: list[float] | None) -> Column:
+    """array<struct<start, rank, kind, end>> of a text's spans in code points, end exclusive, in order of start, then kind as listed.
 
     Base kinds keep all their spans, overlapping ones too; a markov span is kept where no base span
     overlaps it. table: what train() returned; without it, only the base kinds are sought.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sought = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), *([("markov", CANDIDATE)] if table else [])]
-    hits = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*[_found(text, p, k) for k, p in sought]), lambda x: F.size(x) > 0)).alias("one"))
-    each = hits.select("id", F.posexplode("one").alias("pos", "h")).select("id", "pos", "h.*")
-    before = Window.partitionBy("id", "kind").orderBy("pos")
-    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(before)).withColumn("start", F.col("end") - F.col("hit"))
-    good = F.when(F.col("kind") == "assign", F.length("part") >= 8)
-    if table:
-        ratio = _ratio(F.col("part"), F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>"))  # folds to one literal
-        good = good.when(F.col("kind") == "markov", (ratio >= LEAST_RATIO) & (ratio >= LEAST_PER_CHAR * F.length("part")))
-    kept = placed.where(good.otherwise(True)).select("id", "kind", "start", "end")
+    text = F.coalesce(text, F.lit(""))
+    bare = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["end"]))
+    assign = F.filter(_found(text, ASSIGN, "assign"), lambda x: F.length(x["part"]) >= 8)
+    others = [_found(text, ACCESS, "access"), _found(text, HEX, "hex")]
     if not table:
-        return kept
-    by = Window.partitionBy("id").orderBy("start")
-    base = F.col("kind") != "markov"
-    ahead = F.max(F.when(base, F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    behind = F.min(F.when(base, F.col("start"))).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    free = (F.coalesce("ahead", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("behind"), F.col("end")) >= F.col("end"))
-    return kept.withColumns({"ahead": ahead, "behind": behind}).where(base | free).select("id", "kind", "start", "end")
+        return F.array_sort(bare(F.concat(assign, *others)))
+    ratios = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # folds to one literal
+
+    def with_markov(a: Column) -> Column:
+        def free(x: Column) -> Column:  # access and hex matches lie within one candidate, so the string itself tells
+            inside = x["part"].rlike(ACCESS) | x["part"].rlike(HEX) | F.exists(a, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
+            return ~inside & _let(_ratio(x["part"], ratios), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_PER_CHAR * F.length(x["part"])))
+
+        return F.concat(a, *others, F.filter(_found(text, CANDIDATE, "markov"), free))
+
+    return F.array_sort(bare(_let(assign, with_markov)))
 
 
 def scan(docs: DataFrame, table: list[float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, found array<struct<start, rank, kind, end>> in order of start, then kind as listed; empty where nothing is found."""
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    per = spans(docs, table, id_col, text_col).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("found"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return docs.select(F.col(id_col).alias("id")).join(per, "id", "left").select("id", F.coalesce("found", none).alias("found"))
+    """One row per row of docs: id and found(), empty where nothing is found."""
+    return docs.select(F.col(id_col).alias("id"), found(F.col(text_col), table).alias("found"))
 
 
 def joined(found: Column) -> Column:
