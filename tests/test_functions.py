@@ -25,26 +25,81 @@ def test_distances(spark):
     assert zero[0]["c"] is None and zero[1]["l"] is None
 
 
+def interleave(c: list[int], bits: int) -> int:
+    out = 0
+    for i in range(bits):
+        for j, x in enumerate(c):
+            out |= ((x >> i) & 1) << (len(c) * i + j)
+    return out
+
+
+def hilbert_index(cells: list[int], bits: int) -> int:
+    """Distance along the Hilbert curve, by the published transposition method."""
+    x = list(cells)
+    n, top = len(x), 1 << (bits - 1)
+    q = top
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, top
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return interleave(x[::-1], bits)
+
+
+def peano_index(cells: list[int], digits: int) -> int:
+    """Distance along the Peano curve of base-3 cells.
+
+    A digit is turned round (2 - digit) when the digits that come before it, in all other
+    components, have an odd sum. All components take part.
+    """
+    n, out = len(cells), 0
+    seen = [0] * n
+    for level in range(digits - 1, -1, -1):
+        for j in range(n):
+            digit = (cells[j] // 3**level) % 3
+            odd = (sum(seen) - seen[j]) & 1
+            out = out * 3 + (2 - digit if odd else digit)
+            seen[j] += digit
+    return out
+
+
+INDEX = {"hilbert": hilbert_index, "peano": peano_index, "zorder": interleave, "gray": lambda c, b: interleave([x ^ (x >> 1) for x in c], b)}
+
+
 @pytest.mark.parametrize("curve,side", [("hilbert", 8), ("peano", 9), ("zorder", 8), ("gray", 8)])
 @pytest.mark.parametrize("dims", [1, 2, 3])
-def test_curves_visit_every_cell_once(curve, side, dims):
+def test_curves_visit_every_cell_once(spark, curve, side, dims):
     digits = {8: 3, 9: 2}[side]
-    index = curves._INDEX[curve]
-    seen = {index(list(c), digits): c for c in itertools.product(range(side), repeat=dims)}
-    assert sorted(seen) == list(range(side**dims))
+    cells = list(itertools.product(range(side), repeat=dims))
+    got = spark.createDataFrame([(list(c),) for c in cells], "c array<long>").select("c", curves.key(curve, F.col("c"), dims, digits).alias("k")).collect()
+    seen = {r["k"]: r["c"] for r in got}
+    assert sorted(seen) == list(range(side**dims)) and all(r["k"] == INDEX[curve](list(r["c"]), digits) for r in got)
     if curve in ("hilbert", "peano"):
         for k in range(side**dims - 1):
             assert sum(abs(a - b) for a, b in zip(seen[k], seen[k + 1])) == 1
 
 
-def test_curve_columns(spark):
-    cells = [[i, (i * 7) % 16, (i * 5) % 16] for i in range(16)]
-    df = spark.createDataFrame([(c,) for c in cells], "c array<long>")
-    got = df.select(curves.zorder(F.col("c"), 3, 4), curves.gray(F.col("c"), 3, 4), curves.wide_key("hilbert", 3, 4)(F.col("c"))).collect()
-    for c, (z, g, h) in zip(cells, got):
-        assert z == curves._interleave(c, 4)
-        assert g == curves._INDEX["gray"](c, 4)
-        assert int.from_bytes(h, "big") == curves.hilbert_index(c, 4)
+@pytest.mark.parametrize("curve", curves.CURVES)
+def test_wide_keys(spark, curve):
+    """Keys of 40 components are their digits as bytes; a null cell has none."""
+    r = np.random.default_rng(5)
+    cells = r.integers(0, 9 if curve == "peano" else 16, size=(20, 40)).tolist()
+    bits, base = (2, 3) if curve == "peano" else (4, 2)
+    got = spark.createDataFrame([(c,) for c in [*cells, None]], "c array<long>").select(curves.key(curve, F.col("c"), 40, bits).alias("k")).collect()
+    assert [int(bytes(x["k"]).decode(), base) for x in got[:-1]] == [INDEX[curve](c, bits) for c in cells] and got[-1]["k"] is None
     with pytest.raises(NotImplementedError):
         curves.sierpinski(F.col("c"), 3, 4)
 

@@ -3,26 +3,37 @@
 from __future__ import annotations
 
 import itertools
+from functools import lru_cache
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewater.functions.distance import dot
 
+SEED = 66
 
-def coefficients(family: int, k: int, dim: int) -> list[int]:
-    """Integer direction of hash k of a family: centred, and the same in every engine."""
-    return [(i * i * 7 + i * (k + 3) * 11 + (family + 1) * (k + 1) * 29) % 17 - 8 for i in range(dim)]
 
+@lru_cache(maxsize=None)
+def _drawn(family: int, k: int, dim: int) -> tuple[tuple[float, ...], float]:
+    r = np.random.Generator(np.random.PCG64([SEED, family, k, dim]))
+    return tuple(round(float(x), 6) for x in r.standard_normal(dim)), round(float(r.uniform()), 6)
 
-def offset(family: int, k: int, width: float) -> float:
-    return ((family * 5 + k * 3) % 8) / 8 * width
+
+def coefficients(family: int, k: int, dim: int) -> list[float]:
+    """Direction of hash k of a family: seeded draws of the standard normal distribution, to six digits."""
+    return list(_drawn(family, k, dim)[0])
+
+
+def offset(family: int, k: int, dim: int, width: float) -> float:
+    """A seeded draw from [0, width)."""
+    return _drawn(family, k, dim)[1] * width
 
 
 def hashes(v: Column, family: int, k: int, dim: int, width: float) -> Column:
     """floor((a . v + b) / width) for each of a family's k directions."""
-    one = lambda j: F.floor((dot(v, F.array(*[F.lit(float(c)) for c in coefficients(family, j, dim)])) + F.lit(offset(family, j, width))) / F.lit(width))
+    one = lambda j: F.floor((dot(v, F.array(*[F.lit(c) for c in coefficients(family, j, dim)])) + F.lit(offset(family, j, dim, width))) / F.lit(width))
     return F.array(*[one(j) for j in range(k)])
 
 
