@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-M, WIDTH_BUILD, STEP = 16, 64, 192
+M, WIDTH_BUILD, STEP, WHOLE = 16, 64, 192, 64
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
@@ -51,6 +51,7 @@ class Graph:
         done, seen = np.zeros((n, width), dtype=bool), np.zeros((n, limit), dtype=bool)
         ids[:, 0], score[:, 0] = start, np.einsum("nd,nd->n", q, self.x[start])
         seen[np.arange(n), start] = True
+        met = np.empty((n, limit), np.int32)  # where a node was met last, to drop what is met twice in a step
         live, steps = np.arange(n), max(1, width // 16)  # so many nodes of each beam are followed at once
         while len(live):
             open_ = np.where(done[live] | (ids[live] < 0), -np.inf, score[live])
@@ -66,7 +67,9 @@ class Graph:
             nb = np.where(new, nb, 0)
             new &= ~seen[live[:, None], nb]
             rows, cols = np.nonzero(new)
-            _, once = np.unique(rows * limit + nb[rows, cols], return_index=True)
+            at, number = (live[rows], nb[rows, cols]), np.arange(len(rows), dtype=np.int32)
+            met[at] = number
+            once = met[at] == number
             rows, cols = rows[once], cols[once]
             seen[live[rows], nb[rows, cols]] = True
             s = np.full(nb.shape, -np.inf, np.float32)
@@ -152,19 +155,28 @@ class Graph:
         self.count[k][node] = n + len(more)
 
     def search(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of a score of `least` or more; beams that hold nothing else are widened."""
+        """(query, node) pairs of a score of `least` or more.
+
+        A walk whose beam holds nothing else is repeated with one four times as wide; where that would
+        meet about as many nodes as there are, the query is compared with all of them instead.
+        """
         n = len(self.x)
-        found, todo = [], np.arange(len(q))
+        found, todo, walked = [], np.arange(len(q)), False
         while len(todo):
             width = min(width, n)
             again = []
+            whole = walked and width * WHOLE >= n
             step = max(1, min(STEP, (1 << 26) // max(1, n)))
             for i in range(0, len(todo), step):
                 part = todo[i : i + step]
+                if whole:
+                    rows, cols = np.nonzero(q[part] @ self.x.T >= least)
+                    found.append((part[rows], cols))
+                    continue
                 ids, score = self.beam(q[part], self._enter(q[part], 0, n), 0, width, n)
                 full = (score >= least).all(axis=1) & (width < n)
                 again.append(part[full])
                 rows, cols = np.nonzero((score >= least) & (ids >= 0) & ~full[:, None])
                 found.append((part[rows], ids[rows, cols]))
-            todo, width = np.concatenate(again), width * 2
+            todo, width, walked = np.concatenate(again) if again else todo[:0], width * 4, True
         return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
