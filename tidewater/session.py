@@ -10,8 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-#: Rows that cross to Python at once: texts may be long, and each task holds a batch on both sides.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that cross to Python at once (Spark's defaults and ours): texts may be long, and each task holds a batch on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2097152b")}
+#: Python workers are used again and again: what one task frees goes back at once, and does not stay with the worker.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 _own_dir: list[str] = []
 
 
@@ -21,8 +23,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
-    if spark.conf.get(BATCH, "10000") == "10000":  # Spark's default; another value is the user's own
-        spark.conf.set(BATCH, "2000")
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name) == default:  # another value is the user's own
+            spark.conf.set(name, ours)
     return spark
 
 
@@ -32,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where it is unset."""
+    """The shared folder that the cluster names; where it is unset, a folder of our own in local mode, else one beside the warehouse's tables."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidewater-"))
     return _own_dir[0]
@@ -48,10 +55,10 @@ class Scratch:
         self.spark = prepare(spark)
         self.dir = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, form: str = "parquet") -> DataFrame:
         path = f"{self.dir}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.mode("overwrite").format(form).save(path)
+        return self.spark.read.schema(df.schema).format(form).load(path)
 
     def drop(self, name: str) -> None:
         """Delete one written table that no later plan reads."""
