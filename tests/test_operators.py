@@ -1,13 +1,16 @@
 """Operators against plain Python models."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import ann, changelog, knn, kv, merge_operators, partitioners
+from tidewater.operators import ann, changelog, knn, kv, merge_operators, partitioners, trace, vector_index
 from tidewater.operators.graph_index import Graph
+from tidewater.session import Scratch
+from tidewater.streaming import search as streaming
 from tidewater.streaming.search import SearchProcessor
 
 
@@ -80,9 +83,10 @@ def test_delete_older_than_insert_does_not_hide(spark):
 
 
 def test_merge_switch(spark):
-    rows = [(1, 0, None, 2.0), (1, 1, "sum", 3.0), (1, 2, "sum", 4.0), (1, 3, "max", 5.0), (1, 4, None, 7.0), (2, 0, None, 1.0)]
-    got = {r["k"]: (r["func"], r["v"]) for r in merge_operators.switching(spark.createDataFrame(rows, "k long, seq long, func string, v double")).collect()}
-    assert got == {1: ("max", 9.0), 2: (None, None)}
+    """A switch folds what was; an unknown name, or none after a name, or none at all, packs the operands."""
+    rows = [(1, 0, None, 2.0), (1, 1, "sum", 3.0), (1, 2, "sum", 4.0), (1, 3, "max", 5.0), (2, 0, None, 1.0), (3, 0, "sum", 1.0), (3, 1, None, 2.0), (3, 2, "sum", 3.0), (4, 0, "what", 1.0), (4, 1, "sum", 2.0), (5, 0, "sum", 2.0), (5, 1, "what", 3.0)]
+    got = {r["k"]: (r["func"], r["v"], r["packed"]) for r in merge_operators.switching(spark.createDataFrame(rows, "k long, seq long, func string, v double")).collect()}
+    assert got == {1: ("max", 9.0, None), 2: ("error", None, [1.0]), 3: ("error", None, [1.0, 2.0, 3.0]), 4: ("error", None, [1.0, 2.0]), 5: ("error", None, [2.0, 3.0])}
 
 
 def test_uint64_wraps(spark):
@@ -134,3 +138,140 @@ def test_early_stop_is_exact(spark):
     q = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "v")
     a = {(r["query_id"], r["rank"], r["id"]) for r in ann.early_stop(rows, q, 5, 1).collect()}
     assert a == {(r["query_id"], r["rank"], r["id"]) for r in knn.nearest(rows, q, 5).collect()}
+
+
+def test_index_life_cycle(spark):
+    """Versions, updates, deletions, re-insertion, filters by time, options, compaction and drop."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 6))
+    path = f"{Scratch(spark, 'index').dir}/v"
+    vector_index.create(spark, path, shards=3, width=8)
+    with pytest.raises(ValueError):
+        vector_index.create(spark, path)
+    with pytest.raises(ValueError):
+        vector_index.set_options(spark, path, shards=4)
+    schema = "op string, id long, v array<double>, version long, event_time long"
+    log = []
+
+    def put(*rows):
+        log.extend(rows)
+        vector_index.upsert(spark, path, spark.createDataFrame(list(rows), schema))
+
+    empty = vector_index.search(spark, path, spark.createDataFrame([(0, x[0].tolist())], "query_id long, v array<double>"), 3)
+    assert empty.count() == 0
+    put(*[("I", i, x[i].tolist(), 1, 100 + i) for i in range(50)], ("I", 50, None, 1, 100), ("I", 51, [0.0] * 6, 1, 100))
+    put(*[("I", i, x[(i + 1) % 50].tolist(), 2, 300 + i) for i in range(0, 50, 7)], *[("D", i, None, 2, 300) for i in range(3, 50, 7)])
+    put(("I", 3, x[55].tolist(), 4, 500), ("I", 4, x[56].tolist(), 0, 600), ("D", 7, None, 9, 510))
+    queries = [(q, x[q].tolist(), t, ttl) for q in range(0, 60, 6) for t, ttl in ((250, 1000), (400, 150), (1000, 2000))]
+    asked = spark.createDataFrame([(n, v, t, ttl) for n, (_, v, t, ttl) in enumerate(queries)], "query_id long, v array<double>, event_time long, ttl long")
+
+    def seen(t, ttl):
+        out = {}
+        for i in {m[1] for m in log}:
+            mine = sorted((m for m in log if m[1] == i and (m[0] == "D" or m[2])), key=lambda m: m[3])
+            for m, after in zip(mine, [*mine[1:], None]):
+                if m[0] == "I" and any(m[2]) and max(0, t - ttl) <= m[4] <= t and (after is None or t < after[4]):
+                    out.setdefault(i, []).append(m[2])
+        return [(i, v) for i, vs in out.items() for v in vs]
+
+    got = {}
+    for row in vector_index.search(spark, path, asked, 5, width=60).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["id"]))
+    for n, (_, v, t, ttl) in enumerate(queries):
+        unit = lambda a: np.array(a) / np.linalg.norm(a)
+        by_segment = {}
+        for i, w in seen(t, ttl):
+            by_segment.setdefault(i, []).append(w)
+        live = sorted((-float(unit(v) @ unit(w)), i) for i, ws in by_segment.items() for w in ws)
+        assert {i for _, i in got.get(n, [])} <= {i for _, i in live} and len(got.get(n, [])) == min(5, len(live))
+    vector_index.compact(spark, path, path + "2")
+    kept = {(r["id"], r["version"]) for r in vector_index.versions(spark, path + "2").collect()}
+    newest = {}
+    for m in sorted(log, key=lambda m: m[3]):
+        if m[0] == "D" or (m[2] and any(m[2])):
+            newest[m[1]] = m
+    assert kept == {(i, m[3]) for i, m in newest.items() if m[0] == "I"}
+    vector_index.drop(spark, path)
+    assert vector_index._stored(spark, path) is None
+
+
+def test_stack_distance_and_misses(spark):
+    rng = random.Random(3)
+    keys = [rng.randrange(30) for _ in range(500)]
+    log = spark.createDataFrame(list(enumerate(keys)), "n long, k long")
+    got = {r["n"]: r["distance"] for r in trace.stack_distance(log, 1, "k", "n").collect()}
+    for n, k in enumerate(keys):
+        last = max((i for i in range(n) if keys[i] == k), default=None)
+        assert got[n] == (-1 if last is None else len(set(keys[last + 1 : n])))
+    for capacity, misses in ((r["capacity"], r["misses"]) for r in trace.miss_ratio(log, 1, [4, 16], "k", "n").collect()):
+        cache, want = [], 0
+        for k in keys:
+            want += k not in cache
+            cache = [x for x in cache if x != k][-(capacity - 1) :] + [k]
+        assert misses == want
+
+
+def test_tombstones_are_bounded_by_the_retention(spark):
+    """An old insert after its deletion stays dead; one older than the retention is dropped; both over several micro-batches."""
+    row = lambda op, i, t, seq, v: (op, i, v, t, seq, 10**9, 1, 0)
+    batches = [
+        [row("I", 1, 10, 1, [1.0]), row("I", 2, 10, 1, [2.0]), row("D", 3, 50, 2, None)],
+        [row("D", 1, 60, 2, None), row("I", 3, 40, 1, [3.0])],
+        [row("I", 1, 55, 1, [1.5]), row("I", 4, 400, 1, [4.0])],
+        [row("I", 5, 250, 1, [5.0]), row("I", 6, 350, 1, [6.0]), row("Q", 9, 500, 0, [0.0])],
+    ]
+    scratch = Scratch(spark, "retention")
+    schema = "op string, id long, v array<double>, event_time long, seq long, ttl long, n_sent int, partition_id int"
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{scratch.dir}/rows")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.dir}/rows")
+    found = {k: [x["id"] for x in streaming.replay(streaming.search(stream(), 9, k), "retention").first()["neighbors"]] for k in (None, 100)}
+    assert found == {None: [2, 4, 5, 6], 100: [2, 4, 6]}
+
+
+def test_unfinished_merges_are_released(spark):
+    """A query whose partitions do not all answer is given up after the timeout, with what has come."""
+    scratch = Scratch(spark, "timeout")
+    schema = streaming.PARTIAL
+    rows = [[(1, 0, 2, False, [(1.0, 7)]), (2, 0, 1, False, [(2.0, 8)])], [(3, 0, 1, False, [])], [(4, 0, 1, False, [])]]
+    for b in rows:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{scratch.dir}/rows")
+    stream = streaming.merge(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.dir}/rows"), 3, timeout=1)
+    with streaming._rocksdb(spark):
+        q = stream.writeStream.format("parquet").option("path", f"{scratch.dir}/out").option("checkpointLocation", f"{scratch.dir}/state").trigger(processingTime="1 second").start()
+        begun, got = time.time(), {}
+        while time.time() - begun < 90 and len(got) < 4:
+            time.sleep(2)
+            out = spark.read.schema(streaming.MERGED).parquet(f"{scratch.dir}/out").collect() if q.recentProgress else []
+            got = {r["query_id"]: (r["n_combined"], r["n_to_combine"], [x["id"] for x in r["neighbors"]]) for r in out}
+        q.stop()
+    assert got == {1: (1, 2, [7]), 2: (1, 1, [8]), 3: (1, 1, []), 4: (1, 1, [])}
+
+
+def test_lsh_curve_ranges(spark):
+    """Rows go by the ranges of the period before; queries ask all that could have routed what they see."""
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(300)], "id long, v array<double>")
+    cells = partitioners.lsh_cells(rows, 2, 2, 8, 0.5, F.floor(F.col("id") / 100))
+    ranges = partitioners.lsh_ranges(cells, 4)
+    heads = {(x["family"], x["period"]): x["heads"] for x in ranges.collect()}
+    keys = {x["id"]: (x["period"], x["cells"]) for x in cells.collect()}
+    for p in range(3):
+        for f in range(2):
+            mine = sorted(c[f] for q, c in keys.values() if q == p)
+            assert heads[f, p + 1] == sorted({mine[100 * i // 4] for i in range(1, 4)})
+    for fresh in (1, 2):
+        got = {x["id"]: x["partitions"] for x in partitioners.by_lsh_ranges(cells, ranges, 2, fresh).collect()}
+        for i, (p, c) in keys.items():
+            tables = lambda f: [heads[f, q] for q in range(max(1, p - fresh + 1), p + 1)] or [[]]
+            assert got[i] == sorted({sum(h <= c[f] for h in t) for f in range(2) for t in tables(f)})
+
+
+def test_fitted_centroids(spark):
+    """Nine points in three clusters: each gets a centroid."""
+    points = [(x + dx, y + dy) for x, y in ((0, 0), (10, 0), (0, 10)) for dx, dy in ((0, 0), (1, 0), (0, 1))]
+    rows = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(points)], "id long, v array<double>")
+    centroids = partitioners.fit_centroids(rows, 3)
+    to = {r["id"]: r["partitions"][0] for r in partitioners.by_centroids(rows, centroids, 2).collect()}
+    assert len(centroids) == 3 and sum((np.array(points[i]) - centroids[p]) @ (np.array(points[i]) - centroids[p]) for i, p in to.items()) <= sum((np.array(points[i]) - centroids[q]) @ (np.array(points[i]) - centroids[q]) for i in to for q in range(3)) / 3
+    assert partitioners.fit_centroids(rows.limit(0), 3) == []

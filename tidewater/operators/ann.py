@@ -1,4 +1,4 @@
-"""Approximate search by a graph per shard, search that skips segments, and the packed codec."""
+"""Search that skips segments, and the packed codec."""
 
 from __future__ import annotations
 
@@ -11,34 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import codec
 from tidewater.functions.distance import l2_squared
-from tidewater.operators import knn, partitioners
-from tidewater.operators.graph_index import Graph
-
-
-def hnsw(rows: DataFrame, queries: DataFrame, k: int, shards: int, width: int = 64) -> DataFrame:
-    """(query_id, rank, id, dist), cosine order found by a graph per shard, dist squared L2, computed exactly.
-
-    rows(id, v) and queries(query_id, v) of one dimension; zero and null vectors are not searched.
-    """
-    clean = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0)
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    left = rows.where(clean).select(shard.alias("shard"), F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    right = queries.where(clean).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query_id").cast("bigint").alias("query_id"), F.col("v").cast("array<double>").alias("qv")).toDF("shard", "query_id", "qv")
-
-    def search(key, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(asked):
-            return pd.DataFrame([], columns=["query_id", "id", "v", "qv"], dtype=object)
-        x, q = np.stack(pdf["v"].to_numpy()), np.stack(asked["qv"].to_numpy())
-        unit = lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
-        g = Graph(unit(x), pdf["id"].to_numpy())
-        ids, _ = g.nearest(unit(q), min(k, len(x)), width)
-        r, c = np.nonzero(ids >= 0)
-        at = g.order[ids[r, c]]
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[r], "id": pdf["id"].to_numpy()[at], "v": list(x[at]), "qv": list(q[r])})
-
-    near = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(search, "query_id long, id long, v array<double>, qv array<double>")
-    dist = near.select("query_id", "id", l2_squared(F.col("qv"), F.col("v")).alias("dist"))
-    return dist.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+from tidewater.operators import partitioners
 
 
 def segments(rows: DataFrame, segment: str = "segment") -> list[tuple[int, list[float], float]]:
@@ -75,18 +48,12 @@ def early_stop(rows: DataFrame, queries: DataFrame, k: int, first: int, factor:
 
 
 def codec_roundtrip(rows: DataFrame) -> DataFrame:
-    """(id, same): whether each vector comes back from the packed form bit for bit; rows of one dimension."""
+    """(id, v): vectors that went through the packed form; rows of one dimension."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-                y = codec.unpack(codec.pack(x), *x.shape)
-                yield pd.DataFrame({"id": pdf["id"], "same": (x.view(np.uint32) == y.view(np.uint32)).all(axis=1)})
-
-    return rows.select("id", "v").mapInPandas(run, "id long, same boolean")
-
+                yield pd.DataFrame({"id": pdf["id"], "v": list(codec.unpack(codec.pack(x), *x.shape))})
 
-def sampled_recall(found: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Recall of any search against exact search."""
-    return knn.recall(found, knn.nearest(rows, queries, k))
+    return rows.select("id", "v").mapInPandas(run, "id long, v array<float>")

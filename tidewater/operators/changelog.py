@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.draws import draw
+
 
 def latest(log: DataFrame, key: str, order: str, *, at: Column | None = None) -> DataFrame:
     """The newest row of each key, up to `at` if given. One shuffle, partial aggregates before it."""
@@ -54,7 +56,7 @@ def buffered(batch: DataFrame, key: str = "id", time: str = "event_time", op: st
 
 def inject_deletes(vectors: DataFrame, share: int, seed: int = 66, key: str = "id") -> DataFrame:
     """Mutations with tombstones (that keep their value) for `share` of a thousand ids, chosen by a hash."""
-    chosen = F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.lit(1000)) < share
+    chosen = draw(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 1000) < share
     return vectors.withColumn("op", F.lit("I")).unionByName(vectors.where(chosen).withColumn("op", F.lit("D")))
 
 
@@ -77,3 +79,19 @@ def stage_clock(rows: DataFrame, thresholds: list[int], rates: list[float], posi
 def interval_ns(rate: float) -> int:
     """Nanoseconds between rows at a rate."""
     return int(-rate * 1e9) if rate < 0 else 0 if rate == 0 else int(1e9 / rate)
+
+
+def without_deletes(log: DataFrame, op: str = "op") -> DataFrame:
+    """The log itself, for indexes that take no deletions: one among the rows is an error."""
+    refused = F.raise_error(F.lit("this index takes no deletions")).cast("string")
+    return log.withColumn(op, F.when(F.col(op) == "D", refused).otherwise(F.col(op))).where(F.col(op).isNotNull())
+
+
+def throttled(rows: DataFrame, rate: float, *, start: int = 0, first_id: int | None = None, group: int = 1, position: str = "id") -> DataFrame:
+    """rows with the event_time (ms, cut) at which a throttle lets row number n (from 0) through, `group` rows at once.
+
+    With first_id, new_id numbers the rows from there.
+    """
+    slot = F.floor(F.col(position) / group) * group
+    out = rows.withColumn("event_time", (F.lit(start) + F.floor(slot * interval_ns(rate) / 1_000_000)).cast("bigint"))
+    return out if first_id is None else out.withColumn("new_id", F.col(position) + first_id)

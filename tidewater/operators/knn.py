@@ -49,9 +49,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", *,
     rows(id, v[, event_time[, valid_to]]), queries(query_id, v[, event_time, ttl]). With time_filter
     "ge" (or "gt") a row is visible from its event_time to its valid_to (exclusive, null: for ever) and
     only if its event_time is at (or over) max(0, query time - ttl). scope "batch_first": the bounds of
-    the earliest query hold for all. Queries without k visible rows return what there is.
+    the earliest query hold for all; "batch_ttl": its ttl does, each query at its own time. Queries
+    without k visible rows return what there is. What no query of a block can see is filtered at the
+    source: bounds on event_time are pushed to the scan.
     """
-    if time_filter not in ("none", "ge", "gt") or scope not in ("per_query", "batch_first"):
+    if time_filter not in ("none", "ge", "gt") or scope not in ("per_query", "batch_first", "batch_ttl"):
         raise ValueError((time_filter, scope))
     timed = time_filter != "none"
     clock = ["event_time", "valid_to"] if timed else []
@@ -62,6 +64,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", *,
     if timed and scope == "batch_first":
         first = queries.agg(F.min_by("ttl", F.struct("event_time", "query_id")).alias("ttl"), F.min("event_time").alias("t")).first()
         queries = queries.withColumns({"ttl": F.lit(first["ttl"]), "_t": F.lit(first["t"])})
+    elif timed and scope == "batch_ttl":
+        queries = queries.withColumn("ttl", F.lit(queries.agg(F.min_by("ttl", F.struct("event_time", "query_id")).alias("ttl")).first()["ttl"]))
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     key = dict(rows.dtypes)["id"]
@@ -87,6 +91,8 @@ def _block(rows: DataFrame, part: DataFrame, k: int, metric: str, time_filter: s
         at, ttl = (np.asarray(q.column(c).to_pylist(), dtype=np.float64)[ok] for c in ("event_time", "ttl"))
         begin = np.asarray(q.column("_t").to_pylist(), dtype=np.float64)[ok] if "_t" in q.column_names else at
         low = np.maximum(0, begin - ttl)
+        if len(at):
+            rows = rows.where(F.col("event_time").between(int(low.min()), int(at.max())))
     else:
         at = low = np.zeros(len(ids))
     shared = rows.sparkSession.sparkContext.broadcast((qm, at, low))
@@ -149,5 +155,5 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 def as_text(results: DataFrame, duration: Column) -> DataFrame:
     """(query_id, line): `query duration (id,dist)*` in order of rank, as result files hold it."""
-    pair = F.struct("rank", F.concat_ws(",", F.col("id").cast("string"), F.col("dist").cast("string")).alias("s"))
+    pair = F.struct("rank", F.concat(F.lit("("), F.col("id").cast("string"), F.lit(","), F.format_string("%.9f", F.col("dist")), F.lit(")")).alias("s"))
     return results.groupBy("query_id").agg(F.array_sort(F.collect_list(pair)).alias("p")).select("query_id", F.concat_ws(" ", F.col("query_id").cast("string"), duration.cast("string"), F.array_join(F.transform("p", lambda x: x["s"]), " ")).alias("line"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.draws import draw
 from tidewater.operators.changelog import latest
+from tidewater.session import Scratch
 
 
 def view(log: DataFrame, *, snapshot: Column | None = None, key: str = "k", seq: str = "seq", op: str = "op") -> DataFrame:
@@ -101,7 +103,70 @@ def deletion_density(log: DataFrame, window: int, least: int, buckets: int = 64,
 
     Parts are hash ranges of the key, as files would be: the frame never leaves its part.
     """
-    part = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    part = draw(F.col(key), buckets).cast("int")
     frame = Window.partitionBy("part").orderBy(key, seq).rowsBetween(1 - window, 0)
     d = F.sum((F.col(op) == "DEL").cast("int")).over(frame)
     return log.withColumn("part", part).withColumn("d", d).groupBy("part").agg(F.count("*").alias("n"), F.sum((F.col("d") >= least).cast("int")).alias("n_dense"))
+
+
+def checksum(rows: DataFrame, text: Column) -> DataFrame:
+    """One row (n, xor, total): sums of the rows' draws, the same in any order."""
+    return rows.select(draw(text).alias("d")).agg(F.count("*").alias("n"), F.bit_xor("d").alias("xor"), F.sum("d").alias("total"))
+
+
+def snapshot(families: dict[str, DataFrame], at: int, key: str = "k", seq: str = "seq") -> DataFrame:
+    """(key, a column of each family): the newest sequence of every key in every family, all read at one sequence."""
+    rows = [df.where(F.col(seq) <= at).select(key, F.lit(name).alias("family"), seq) for name, df in families.items()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.groupBy(key).pivot("family", list(families)).agg(F.max(seq))
+
+
+def partitioned(rows: DataFrame, by: str, scratch: Scratch, order: str | None = None) -> DataFrame:
+    """rows written in files cut where `by` changes (sorted within), and read back: filters on `by` prune files."""
+    dealt = rows.repartition(by)
+    (dealt.sortWithinPartitions(by, order) if order else dealt).write.partitionBy(by).parquet(f"{scratch.dir}/files")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{scratch.dir}/files")
+
+
+def trim_history(log: DataFrame, low: int, key: str = "k", seq: str = "seq") -> DataFrame:
+    """The log without versions below `low` that no read at `low` or later needs: each key keeps its newest below."""
+    old = log.where(F.col(seq) < low)
+    needed = old.groupBy(key).agg(F.max(seq).alias(seq))
+    return log.where(F.col(seq) >= low).unionByName(old.join(needed, [key, seq], "left_semi").select(*log.columns))
+
+
+def _places(key: Column, bits: int, hashes: int) -> Column:
+    return F.array(*[draw(F.concat_ws(":", F.lit(i), key.cast("string")), bits) for i in range(hashes)])
+
+
+def bloom_filter(rows: DataFrame, bits: int, hashes: int, key: str = "k") -> DataFrame:
+    """(bucket, m): a Bloom filter of a fixed number of bits as bitmaps of 32,768 each, built by partial aggregates."""
+    each = rows.select(F.explode(_places(F.col(key), bits, hashes)).alias("p"))
+    return each.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("m"))
+
+
+def bloom_probe(keys: DataFrame, filter_: DataFrame, bits: int, hashes: int, key: str = "k") -> DataFrame:
+    """keys with `maybe`: false only for keys that are surely not there."""
+    place = F.explode(F.array_distinct(_places(F.col(key), bits, hashes)))
+    each = keys.select(key).distinct().withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number(F.col("p") + 1))
+    at = F.bitmap_bit_position(F.col("p") + 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("m"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, at % 8) == 1, F.lit(False))
+    found = each.join(filter_, "bucket", "left").groupBy(key).agg(F.min(hit.cast("int")).alias("hit"))
+    return keys.join(found, key, "left").withColumn("maybe", F.col("hit") == 1).drop("hit")
+
+
+def replayed(log: DataFrame, *, keep: Column | None = None, value: Column | None = None, v: str = "v") -> DataFrame:
+    """The log as a filter lets it through: records dropped, values replaced."""
+    out = log if keep is None else log.where(keep)
+    return out if value is None else out.withColumn(v, value)
+
+
+def dump(rows: DataFrame, path: str, codec: str = "zstd") -> None:
+    rows.write.option("compression", "lz4_raw" if codec == "lz4raw" else codec).parquet(path)
+
+
+def load(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)

@@ -59,30 +59,34 @@ def merge(log: DataFrame, operator: str, key: str = "k", v: str = "v", seq: str
 
 
 def switching(log: DataFrame, functions: tuple[str, ...] = ("sum", "max", "last"), key: str = "k", func: str = "func", v: str = "v", seq: str = "seq") -> DataFrame:
-    """(key, func, v) of operands that each name an aggregate function.
+    """(key, func, v, packed) of operands that each name an aggregate function.
 
     Operands go by sequence. Those without a name before the first named one join it. When the name
-    changes, what the old function made of its list becomes the first element of the new list. A name
-    that is not known leaves the key's value null and lists it as the function.
+    changes, what the old function made of its list becomes the first element of the new list; no
+    name after a name is a change too. A key that ever runs under a name that is not in `functions`,
+    or under none, cannot be folded: its func is "error" and packed holds all its operands in order.
     """
-    known = [x for x in ("sum", "max", "min", "last") if x in functions or x == "min"]
+    known = [x for x in ("sum", "max", "min", "last") if x in functions]
     ops = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(func).alias("f"), F.col(v).alias("v"))))
-    start = F.struct(F.lit(None).cast("string").alias("f"), F.lit(None).cast("double").alias("sum"), F.lit(None).cast("double").alias("max"), F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("last"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(None).cast("string").alias("f"), F.lit(False).alias("bad"), none.alias("sum"), none.alias("max"), none.alias("min"), none.alias("last"))
 
     def result(s: Column) -> Column:
-        out = F.lit(None).cast("double")
+        out = none
         for name in known:
             out = F.when(s["f"] == name, s[name]).otherwise(out)
         return out
 
+    unknown = lambda s: ~F.coalesce(s["f"].isin(known), F.lit(False))
+
     def step(s: Column, x: Column) -> Column:
         value = x["v"].cast("double")
-        f = F.coalesce(x["f"], s["f"])
-        first = s["last"].isNull()
-        switch = s["f"].isNotNull() & x["f"].isNotNull() & (x["f"] != s["f"])
-        base = result(s)
-        grow = lambda name, join: F.when(first, value).when(switch, join(base, value)).otherwise(join(s[name], value))
-        return F.struct(f.alias("f"), grow("sum", lambda a, b: a + b).alias("sum"), grow("max", F.greatest).alias("max"), grow("min", F.least).alias("min"), value.alias("last"))
-
-    folded = log.groupBy(key).agg(F.aggregate(ops, start, step).alias("s"))
-    return folded.select(key, F.col("s.f").alias("func"), result(F.col("s")).alias(v))
+        name = F.when(s["f"].isNull(), x["f"]).otherwise(F.coalesce(x["f"], F.lit("")))
+        switch = s["f"].isNotNull() & (name != s["f"])
+        first, base = s["last"].isNull(), result(s)
+        grow = lambda part, join: F.when(first, value).when(switch, join(base, value)).otherwise(join(s[part], value))
+        return F.struct(name.alias("f"), (s["bad"] | (switch & unknown(s))).alias("bad"), grow("sum", lambda a, b: a + b).alias("sum"), grow("max", F.greatest).alias("max"), grow("min", F.least).alias("min"), value.alias("last"))
+
+    folded = log.groupBy(key).agg(ops.alias("o")).select(key, "o", F.aggregate("o", start, step).alias("s"))
+    bad = F.col("s.bad") | unknown(F.col("s"))
+    return folded.select(key, F.when(bad, "error").otherwise(F.col("s.f")).alias("func"), F.when(~bad, result(F.col("s"))).alias(v), F.when(bad, F.transform("o", lambda x: x["v"])).alias("packed"))

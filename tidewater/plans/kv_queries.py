@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.draws import draw_sql
 from tidewater.operators import changelog, kv, merge_operators, trace
-from tidewater.session import table
+from tidewater.session import Scratch, table
 
 QUERIES, SQL = {}, {}
 
@@ -178,10 +179,83 @@ def comparator_reverse(spark, sf):
     return table(spark, sf, "nation").select("n_name").orderBy(F.desc("n_name"))
 
 
-@query()
+_SUM = draw_sql("k || ':' || seq || ':' || op")
+
+
+@query(f"WITH {LOG} SELECT count(*) n, bit_xor({_SUM}) \"xor\", sum({_SUM})::BIGINT total FROM log")
 def kv_checksum(spark, sf):
     """An order-free checksum of a table."""
-    return log(spark, sf).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k", "seq", "op")).alias("xor"), F.sum(F.crc32(F.concat_ws(":", "k", "seq"))).alias("crc"))
+    return kv.checksum(log(spark, sf), F.concat_ws(":", "k", "seq", "op"))
+
+
+@query(f"WITH {LOG}, v AS (SELECT k, max(seq) FILTER (kind = 'click') click, max(seq) FILTER (kind <> 'click') other FROM log WHERE seq <= {MIDDLE} GROUP BY k) SELECT k, click, other FROM v")
+def kv_snapshot_families(spark, sf):
+    """Two families of one log read at the same sequence: the newest version of each key in both."""
+    rows = log(spark, sf).select("k", "seq", "kind")
+    families = {"click": rows.where("kind = 'click'"), "other": rows.where("kind <> 'click'")}
+    return kv.snapshot(families, _middle(spark, sf))
+
+
+@query(f"WITH {LOG}, m AS (SELECT max(ts) // 86400000 d FROM log) SELECT k, seq, v FROM log, m WHERE ts // 86400000 >= d - 6")
+def kv_table_filter(spark, sf):
+    """Files of a day each; those whose day is not wanted are never opened."""
+    rows = log(spark, sf).withColumn("day", F.floor(F.col("ts") / 86400000))
+    last = rows.agg(F.max("day")).first()[0]
+    return kv.partitioned(rows, "day", Scratch(spark, "table-filter")).where(F.col("day") >= last - 6).select("k", "seq", "v")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE substr(p_brand, 1, 7) = 'Brand#3'")
+def kv_partition_by_prefix(spark, sf):
+    """Files cut where the key's prefix changes; a prefix scan opens its own only."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_brand").withColumn("prefix", F.substring("p_brand", 1, 7))
+    return kv.partitioned(rows, "prefix", Scratch(spark, "prefixes"), order="p_brand").where("prefix = 'Brand#3'").select("p_partkey", "p_brand")
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, max(seq) FILTER (seq < {MIDDLE}) OVER (PARTITION BY k) base FROM log) SELECT k, seq, op, v FROM r WHERE seq >= {MIDDLE} OR seq = base")
+def kv_trim_history(spark, sf):
+    """Versions below the middle go, but for each key's newest, which reads at the middle still need."""
+    return kv.trim_history(log(spark, sf), _middle(spark, sf)).select("k", "seq", "op", "v")
+
+
+_PLACE = [draw_sql(f"'{i}:' || {{k}}", 4096) for i in range(2)]
+
+
+@query(f"WITH p AS (SELECT DISTINCT {_PLACE[0].format(k='user_id')} a, {_PLACE[1].format(k='user_id')} b FROM events), s AS (SELECT a FROM p UNION SELECT b FROM p) SELECT c_custkey k, {_PLACE[0].format(k='c_custkey')} IN (SELECT a FROM s) AND {_PLACE[1].format(k='c_custkey')} IN (SELECT a FROM s) maybe FROM customer")
+def kv_bloom_filter(spark, sf):
+    """Membership by a Bloom filter of 4,096 bits and two hashes: no key that exists is missed."""
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    return kv.bloom_probe(keys, kv.bloom_filter(log(spark, sf), 4096, 2), 4096, 2)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, CASE WHEN seq % 7 = 0 THEN v + 1000 ELSE v END v FROM log WHERE kind <> 'view'")
+def kv_wal_filter(spark, sf):
+    """Records dropped and replaced while the log is replayed."""
+    return kv.replayed(log(spark, sf), keep=F.col("kind") != "view", value=F.when(F.col("seq") % 7 == 0, F.col("v") + 1000).otherwise(F.col("v"))).select("k", "seq", "op", "v")
+
+
+_CODECS = ("uncompressed", "snappy", "gzip", "lz4raw", "zstd")
+
+
+@query(f"WITH {LOG} SELECT unnest({list(_CODECS)}) codec, count(*) n, bit_xor({_SUM}) \"xor\", sum({_SUM})::BIGINT total FROM log")
+def kv_codecs(spark, sf):
+    """The log dumped under each compression codec, loaded again and summed."""
+    rows = log(spark, sf).select("k", "seq", "op")
+    out = None
+    for codec in _CODECS:
+        path = f"{Scratch(spark, 'dump').dir}/{codec}"
+        kv.dump(rows, path, codec)
+        one = kv.checksum(kv.load(spark, path, rows.schema), F.concat_ws(":", "k", "seq", "op")).withColumn("codec", F.lit(codec))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {LOG} SELECT k, seq, ts, op, v FROM log")
+def kv_dump_load(spark, sf):
+    """A full export and import."""
+    rows = log(spark, sf).select("k", "seq", "ts", "op", "v")
+    path = f"{Scratch(spark, 'dump').dir}/log"
+    kv.dump(rows, path)
+    return kv.load(spark, path, rows.schema)
 
 
 # Merge operators
@@ -226,16 +300,20 @@ def merge_after_delete(spark, sf):
     return merge_operators.merge(rows, "stringappend", op="op")
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n, CASE event_id % 4 WHEN 0 THEN 'sum' WHEN 1 THEN 'max' WHEN 2 THEN 'last' END f, floor(value)::DOUBLE v FROM events),
-r AS (SELECT k, n, f, v total, v most, v last FROM o WHERE n = 1
+@query("""WITH RECURSIVE o AS (SELECT user_id k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n, CASE WHEN event_id % 4 = 0 THEN 'sum' WHEN event_id % 4 = 1 THEN 'max' WHEN event_id % 4 = 2 THEN 'last' WHEN user_id % 3 > 0 THEN 'sum' END f, floor(value)::DOUBLE v FROM events),
+named AS (SELECT k, min(n) FILTER (f IS NOT NULL) first FROM o GROUP BY k),
+bad AS (SELECT o.k, list(o.v ORDER BY n) packed FROM o JOIN named ON named.k = o.k GROUP BY o.k HAVING min(first) IS NULL OR bool_or(f IS NULL AND n > first)),
+r AS (SELECT k, n, f, v total, v most, v last FROM o WHERE n = 1 AND k NOT IN (SELECT k FROM bad)
  UNION ALL SELECT o.k, o.n, coalesce(o.f, r.f),
   CASE WHEN o.f <> r.f THEN (CASE r.f WHEN 'sum' THEN r.total WHEN 'max' THEN r.most ELSE r.last END) + o.v ELSE r.total + o.v END,
   CASE WHEN o.f <> r.f THEN greatest((CASE r.f WHEN 'sum' THEN r.total WHEN 'max' THEN r.most ELSE r.last END), o.v) ELSE greatest(r.most, o.v) END, o.v
  FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
-SELECT k, f func, CASE f WHEN 'sum' THEN total WHEN 'max' THEN most WHEN 'last' THEN last END v FROM r WHERE n = (SELECT max(n) FROM o WHERE o.k = r.k)""")
+SELECT k, f func, CASE f WHEN 'sum' THEN total WHEN 'max' THEN most WHEN 'last' THEN last END v, NULL::DOUBLE[] packed FROM r WHERE n = (SELECT max(n) FROM o WHERE o.k = r.k)
+UNION ALL SELECT k, 'error', NULL, packed FROM bad""")
 def agg_merge_switch(spark, sf):
-    """Operands name sum, max, last or nothing by event_id modulo 4."""
-    f = F.when(F.col("event_id") % 4 == 0, "sum").when(F.col("event_id") % 4 == 1, "max").when(F.col("event_id") % 4 == 2, "last")
+    """Operands name sum, max or last by event_id modulo 4; a third of the users also have operands without a name."""
+    n = F.col("event_id") % 4
+    f = F.when(n == 0, "sum").when(n == 1, "max").when(n == 2, "last").when(F.col("user_id") % 3 > 0, "sum")
     rows = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), f.alias("func"), F.floor("value").cast("double").alias("v"))
     return merge_operators.switching(rows)
 
@@ -260,7 +338,7 @@ def wide_row_merge(spark, sf):
     return kv.wide_merge(cells, F.lit(now), grace=F.lit(2000))
 
 
-@query()
+@query(f"WITH {LOG}, p AS (SELECT *, {draw_sql('k', 16)}::INT part FROM log), d AS (SELECT part, sum((op = 'DEL')::INT) OVER (PARTITION BY part ORDER BY k, seq ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) d FROM p) SELECT part, count(*) n, sum((d >= 5)::INT)::BIGINT n_dense FROM d GROUP BY 1")
 def deletion_density(spark, sf):
     return kv.deletion_density(log(spark, sf), 32, 5, 16)
 
@@ -305,14 +383,41 @@ def trace_correlation(spark, sf):
     return trace.co_access(e, "op", "k").withColumn("r", F.round("r", 6))
 
 
-@query()
+_SEGMENTS = "s AS (SELECT user_id % 16 file, event_id // 1000 step, count(*)::DOUBLE lookups, sum((event_type = 'click')::INT)::DOUBLE hits, avg(value) similarity FROM events GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {_SEGMENTS}, g AS (SELECT *, max(step) OVER (PARTITION BY file) last, coalesce(step - lag(step) OVER (PARTITION BY file ORDER BY step), 1) gap FROM s), "
+    "x AS (SELECT file, last, exp(-0.9::DOUBLE * (last - step)) * (1 - exp(-0.9::DOUBLE * gap)) w, lookups, hits, similarity FROM g), "
+    "t AS (SELECT file, sum(lookups * w) a, sum(hits * w) h, sum(similarity * w) s, ((SELECT max(step) FROM s) - max(last))::DOUBLE age FROM x GROUP BY file) "
+    "SELECT file, round(a, 6) access_score, round(h, 6) hit_score, round(s, 6) similarity_score, round(100 * a + 100 * h + 0.1 * s + 0.1 * age, 6) temperature FROM t"
+)
 def segment_temperature(spark, sf):
-    """Segments of users; a record for each thousand events."""
+    """Segments of users; a record for each thousand events; similarity is the mean value, age the steps since the last record."""
     e = table(spark, sf, "events")
-    a = e.groupBy((F.col("user_id") % 16).alias("file"), F.floor(F.col("event_id") / 1000).alias("step")).agg(F.count("*").alias("lookups"), F.sum((F.col("event_type") == "click").cast("int")).alias("hits"))
-    return trace.temperature(a)
+    a = e.groupBy((F.col("user_id") % 16).alias("file"), F.floor(F.col("event_id") / 1000).alias("step")).agg(F.count("*").alias("lookups"), F.sum((F.col("event_type") == "click").cast("int")).alias("hits"), F.avg("value").alias("similarity"))
+    t = trace.temperature(a)
+    return t.select("file", *[F.round(c, 6).alias(c) for c in ("access_score", "hit_score", "similarity_score", "temperature")])
+
+
+_STACK = f"a AS MATERIALIZED (SELECT user_id k, event_id i, {draw_sql('user_id', 4)}::INT shard, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) p FROM events), d AS (SELECT a.k, a.i, a.shard, a.p, count(b.i) FILTER (b.p IS NULL OR b.p <= a.p) n FROM a LEFT JOIN a b ON b.shard = a.shard AND b.i > a.p AND b.i < a.i GROUP BY ALL)"
+
 
+@query(f"WITH {_STACK} SELECT k, i event_id, n distance FROM d WHERE p IS NOT NULL")
+def trace_stack_distance(spark, sf):
+    """Distinct keys of a shard between two accesses of one key."""
+    return trace.stack_distance(table(spark, sf, "events").select(F.col("user_id").alias("k"), "event_id"), 4, "k", "event_id").where("distance >= 0").select("k", "event_id", "distance")
 
-@query()
+
+@query(f"WITH {_STACK}, c AS (SELECT unnest([16, 64, 256]) capacity) SELECT capacity, count(*) n, sum((p IS NULL OR n >= capacity // 4)::INT)::BIGINT misses, sum((p IS NULL OR n >= capacity // 4)::INT) / count(*) miss_ratio FROM d, c GROUP BY 1")
 def cache_miss_ratio(spark, sf):
     return trace.miss_ratio(table(spark, sf, "events").select(F.col("user_id").alias("k"), "event_id"), 4, [16, 64, 256], "k", "event_id")
+
+
+@query("WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 n, user_id % 8 segments FROM events WHERE event_type = 'click'), r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 n, value latency FROM events WHERE event_type = 'purchase') SELECT s.n, segments, latency FROM s JOIN r ON r.n = s.n")
+def searched_pairs(spark, sf):
+    """Segments searched next to latencies, paired by ordinal."""
+    e = table(spark, sf, "events")
+    s = trace.numbered(e.where("event_type = 'click'").select("event_id", (F.col("user_id") % 8).alias("segments")), "event_id")
+    r = trace.numbered(e.where("event_type = 'purchase'").select("event_id", F.col("value").alias("latency")), "event_id")
+    return trace.paired(s.drop("event_id"), r.drop("event_id"))

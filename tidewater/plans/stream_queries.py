@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import ann, knn, partitioners
+from tidewater.functions.draws import draw_sql
+from tidewater.operators import ann, knn, partitioners, vector_index
 from tidewater.plans import vector_queries as V
 from tidewater.session import Scratch, prepare, table
 from tidewater.streaming import search as S
@@ -48,6 +49,42 @@ def stream_merge(spark, sf):
     return V._rounded(partitioners.ranked(S.replay(S.merge(stream, V.K), "stream-merge")))
 
 
+def _batches(spark, name: str, parts: list):
+    """A stream whose micro-batches are the given tables, in order."""
+    scratch = Scratch(spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{scratch.dir}/rows")
+    return prepare(spark).readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.dir}/rows")
+
+
+_AFTER = "(SELECT max(vec_id) * 1000 + 1000000 FROM embeddings)"
+
+
+@query(
+    f"WITH t AS (SELECT q.vec_id query_id, e.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {V._dist('q.embedding', 'e.embedding')}, e.vec_id) r FROM embeddings q, embeddings e WHERE q.vec_id % 40 = 0 AND e.vec_id % 10 <> 3) "
+    f"SELECT query_id, false late, list(id ORDER BY r) ids FROM t WHERE r <= {V.K} GROUP BY 1 UNION ALL SELECT vec_id, true, [] FROM embeddings WHERE vec_id % 40 = 20"
+)
+def stream_out_of_order(spark, sf):
+    """Inserts; deletions of a tenth; older inserts of the deleted ids, which stay dead; queries; then older queries, which are late."""
+    v = V.vectors(spark, sf)
+    last = v.agg(F.max("id")).first()[0] * 1000 + 1000000
+    rows = lambda df, op, t, seq, value, ttl=0: df.select(F.lit(op).alias("op"), "id", value.alias("v"), t.cast("bigint").alias("event_time"), F.lit(seq).cast("bigint").alias("seq"), F.lit(ttl).cast("bigint").alias("ttl"), F.lit(1).alias("n_sent"), F.lit(0).alias("partition_id"))
+    value, none = F.col("v").cast("array<double>"), F.lit(None).cast("array<double>")
+    gone = v.where("id % 10 = 3")
+    ask = lambda left, t: rows(v.where(f"id % 40 = {left}"), "Q", F.lit(t), 0, value, knn.FOREVER)
+    parts = [rows(v, "I", F.col("id") * 1000, 0, value), rows(gone, "D", F.col("id") * 1000 + 50000, 2, none), rows(gone, "I", F.col("id") * 1000 + 20000, 1, value), ask(0, last), ask(20, last - 1)]
+    found = S.replay(S.search(_batches(spark, "out-of-order", parts), V.K), "stream-late")
+    return found.select("query_id", "late", F.transform("neighbors", lambda x: x["id"]).alias("ids"))
+
+
+@query(f"WITH {V.MUTATIONS}, s AS (SELECT op, id, event_time, seq, {draw_sql('id', V.PARTS)}::INT partition_id FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY event_time, seq) r, count(*) OVER (PARTITION BY partition_id) c FROM s) SELECT partition_id, op, id, event_time, seq FROM n WHERE r <= c // 16 * 16")
+def stream_buffered(spark, sf):
+    """Mutations let through 16 of a partition at a time; the last, unfilled buffers stay in the state."""
+    m = V.mutations(spark, sf).select("op", "id", "event_time", "seq", partitioners.simple(F.col("id"), V.PARTS)[0].alias("partition_id"))
+    half = F.expr(f"event_time <= {m.agg(F.floor(F.max('event_time') / 2)).first()[0]}")
+    return S.replay(S.buffer(_batches(spark, "buffered", [m.where(half), m.where(~half)]), 16), "stream-buffered")
+
+
 @query("SELECT date_trunc('day', ts) AS \"day\", event_type, count(*) n FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, sf):
     """Our addition: a watermarked tumbling count of a stream, replayed to its end."""
@@ -63,9 +100,46 @@ def stream_event_counts(spark, sf):
     return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+def _index(spark, sf) -> str:
+    """A stored index of the mutations: the inserts, then the updates and deletions as a second segment."""
+    path = f"{Scratch(spark, 'index').dir}/vectors"
+    vector_index.create(spark, path, shards=4, dim=V.DIM)
+    m = V.mutations(spark, sf).withColumnRenamed("seq", "version")
+    for part in (m.where("version % 10 = 0"), m.where("version % 10 = 1"), m.where("version % 10 = 2")):
+        vector_index.upsert(spark, path, part)
+    return path
+
+
+@query(V.SQL["knn_ttl"])
+def knn_index(spark, sf):
+    """The index searched at each query's time. Its shards are narrower than the beam on small tables, where results are exact."""
+    found = vector_index.search(spark, _index(spark, sf), V.asked(spark, sf), V.K, width=256)
+    return V._rounded(found.drop("segment"))
+
+
+@query(f"WITH {V.ASKED}, {V.MUTATIONS}, {V.LATEST}, t AS ({V._top('SELECT q.query_id, l.id, ' + V._dist('q.v', 'l.v') + ' dist FROM q, l WHERE l.op = ' + chr(39) + 'I' + chr(39))}) SELECT t.query_id, (l.seq % 10)::INT segment, count(*) n, round(sum(t.dist), 6) total FROM t JOIN l ON l.id = t.id GROUP BY 1, 2")
+def index_feedback(spark, sf):
+    """What each segment gave to a search of the newest versions."""
+    q = V.asked(spark, sf).select("query_id", "v")
+    found = vector_index.search(spark, _index(spark, sf), q, V.K, width=256)
+    return vector_index.feedback(found).withColumn("total", F.round("total", 6))
+
+
+@query(f"WITH {V.MUTATIONS}, {V.LATEST} SELECT id, seq version, event_time FROM l WHERE op = 'I'")
+def index_compaction(spark, sf):
+    """The newest live versions, as one segment read back."""
+    path = _index(spark, sf)
+    vector_index.compact(spark, path, path + "-compacted")
+    return vector_index.versions(spark, path + "-compacted").select("id", "version", "event_time")
+
+
 @query()
 def knn_hnsw(spark, sf):
-    return V._rounded(ann.hnsw(V.vectors(spark, sf), V.asked(spark, sf), V.K, 4))
+    """A graph of four shards, searched with a beam of 64."""
+    path = f"{Scratch(spark, 'index').dir}/vectors"
+    vector_index.create(spark, path, shards=4, dim=V.DIM)
+    vector_index.upsert(spark, path, V.vectors(spark, sf).select(F.lit("I").alias("op"), "id", "v", F.lit(0).alias("version"), F.lit(0).alias("event_time")))
+    return V._rounded(vector_index.search(spark, path, V.asked(spark, sf).select("query_id", "v"), V.K).drop("segment"))
 
 
 @query(V.SQL["knn_l2"])
@@ -75,8 +149,9 @@ def knn_early_stop(spark, sf):
     return V._rounded(ann.early_stop(rows, V.asked(spark, sf), V.K, 2))
 
 
-@query("SELECT vec_id id, true same FROM embeddings")
+@query("SELECT vec_id id, embedding v FROM embeddings")
 def xor_codec_roundtrip(spark, sf):
+    """Every component as it was, through the packed form."""
     return ann.codec_roundtrip(V.vectors(spark, sf))
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import curves, distance, lsh
+from tidewater.functions.draws import draw_sql
 from tidewater.operators import changelog, knn, partitioners
+from tidewater.plans import curve_sql
 from tidewater.session import table
 
 K, DIM, PARTS = 10, 64, 8
@@ -145,13 +147,13 @@ def buffered_mutations(spark, sf):
     return changelog.buffered(mutations(spark, sf).select("op", "id", "event_time"))
 
 
-@query("SELECT vec_id id, 'I' op FROM embeddings UNION ALL SELECT vec_id, 'D' FROM embeddings WHERE (vec_id * 7919) % 1000 < -1")
+@query("SELECT vec_id id, 'I' op FROM embeddings")
 def insert_stream(spark, sf):
     """delete_injection without deletes: every row an insert."""
     return changelog.inject_deletes(vectors(spark, sf).select("id"), 0)
 
 
-@query()
+@query(f"SELECT vec_id id, 'I' op FROM embeddings UNION ALL SELECT vec_id, 'D' FROM embeddings WHERE {draw_sql("'66:' || vec_id", 1000)} < 100")
 def delete_injection(spark, sf):
     """A tenth of the ids deleted by a seeded hash."""
     return changelog.inject_deletes(vectors(spark, sf).select("id"), 100)
@@ -190,6 +192,20 @@ def knn_ttl_batch_first(spark, sf):
     return _timed(spark, sf, time_filter="gt", scope="batch_first")
 
 
+@query(_timed_sql("i.event_time >= greatest(0, q.event_time - f.ttl)", ", f AS (SELECT ttl FROM q ORDER BY event_time, query_id LIMIT 1)").replace("FROM q JOIN i", "FROM f, q JOIN i"))
+def knn_ttl_batch_ttl(spark, sf):
+    """The first query's time to live for all, each query's own time."""
+    q = asked(spark, sf).withColumn("ttl", F.when(F.col("query_id") == 0, 200000).otherwise(F.col("query_id") * 10).cast("bigint"))
+    return _rounded(knn.nearest(changelog.intervals(mutations(spark, sf)).where("op = 'I'"), q, K, time_filter="ge", scope="batch_ttl"))
+
+
+@query(f"WITH {ASKED}, f AS (SELECT event_time t, ttl FROM q ORDER BY event_time, query_id LIMIT 1) " + _top(f"SELECT q.query_id, e.vec_id id, {_dist('q.v', 'e.embedding')} dist FROM f, q JOIN embeddings e ON e.vec_id * 1000 <= q.event_time AND e.vec_id * 1000 > greatest(0, f.t - f.ttl)"))
+def knn_ttl_joint(spark, sf):
+    """Insert and search in one function: strict bound of the first query; a deletion among the rows is an error."""
+    rows = vectors(spark, sf).select("id", "v", (F.col("id") * 1000).alias("event_time"), F.lit("I").alias("op"))
+    return _rounded(knn.nearest(changelog.without_deletes(rows), asked(spark, sf), K, time_filter="gt", scope="batch_first"))
+
+
 @query(_timed_sql("true"))
 def knn_asof_deletes(spark, sf):
     v = changelog.intervals(mutations(spark, sf)).where("op = 'I'")
@@ -210,7 +226,10 @@ def _simple(spark, sf):
     return partitioners.routed(vectors(spark, sf), partitioners.simple(F.col("id"), PARTS), PARTS)
 
 
-@query()
+SIMPLE = f"s AS (SELECT vec_id id, embedding v, {draw_sql('vec_id', PARTS)}::INT partition_id FROM embeddings)"
+
+
+@query(f"WITH {SIMPLE} SELECT id, partition_id FROM s")
 def route_simple(spark, sf):
     return _simple(spark, sf).select("id", "partition_id")
 
@@ -225,24 +244,55 @@ def knn_partitioned_simple(spark, sf):
     return _rounded(partitioners.ranked(partitioners.merged(_partials(spark, sf), K)))
 
 
-@query(f"SELECT vec_id query_id, {PARTS} n_combined, {PARTS} n_to_combine, true complete, least({K}, (SELECT count(*) FROM embeddings))::INT n FROM embeddings WHERE vec_id % 20 = 0")
+_MERGED = "SELECT p.query_id, {n} n_combined, {all} n_to_combine, {n} = {all} complete, list(p.id ORDER BY p.rank) ids FROM ({top}) p GROUP BY 1"
+
+
+@query(_MERGED.format(n=PARTS, all=PARTS, top=_knn_sql()))
 def merge_partials(spark, sf):
-    return partitioners.merged(_partials(spark, sf), K).select("query_id", "n_combined", "n_to_combine", "complete", F.size("neighbors").alias("n"))
+    ids = F.transform("neighbors", lambda x: x["id"]).alias("ids")
+    return partitioners.merged(_partials(spark, sf), K).select("query_id", "n_combined", "n_to_combine", "complete", ids)
 
 
-@query(f"SELECT vec_id query_id, {PARTS - 1} n_combined, {PARTS} n_to_combine FROM embeddings WHERE vec_id % 20 = 0")
+@query(_MERGED.format(n=PARTS - 1, all=PARTS, top=f"WITH {SIMPLE} " + _top(f"SELECT q.id query_id, s.id, {_dist('q.v', 's.v')} dist FROM s q, s WHERE q.id % 20 = 0 AND s.partition_id <> 3")))
 def incomplete_queries(spark, sf):
-    """Queries whose partial result of one partition is missing."""
+    """Queries whose partial result of one partition is missing: what the others found, marked as not complete."""
     m = partitioners.merged(_partials(spark, sf).where("partition_id <> 3"), K)
-    return m.where("not complete").select("query_id", "n_combined", "n_to_combine")
+    return m.select("query_id", "n_combined", "n_to_combine", "complete", F.transform("neighbors", lambda x: x["id"]).alias("ids"))
+
+
+_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY id) r, count(*) OVER (PARTITION BY partition_id) c FROM s)"
+
+
+@query(f"WITH {SIMPLE}, {_NUMBERED} SELECT query_id, partition_id, rank, id, round(dist, 9) dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id, partition_id ORDER BY dist, id) rank FROM (SELECT q.id query_id, n.partition_id, n.id, {_dist('q.v', 'n.v')} dist FROM s q, n WHERE q.id % 20 = 0 AND n.r <= n.c // 20 * 20)) WHERE rank <= {K}")
+def knn_buffered(spark, sf):
+    """An index that is fed 20 rows at a time: rows still in the buffer are not seen, partial results stay apart."""
+    rows = partitioners.flushed(_simple(spark, sf), 20, "id")
+    q = partitioners.routed(asked(spark, sf), partitioners.every(PARTS), PARTS, query=True)
+    each = partitioners.search(rows, q, K).select("query_id", "partition_id", F.posexplode("neighbors").alias("p", "x"))
+    return each.select("query_id", "partition_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("id"), F.round("x.dist", 9).alias("dist"))
+
+
+@query(f"WITH {SIMPLE} SELECT id FROM s WHERE partition_id = 3")
+def partition_dump(spark, sf):
+    """The ids that a partition holds."""
+    return _simple(spark, sf).where("partition_id = 3").select("id")
 
 
-@query()
+@query(f"WITH {MUTATIONS} SELECT 'data' side, op, id, event_time FROM m UNION ALL SELECT 'query', 'Q', vec_id, vec_id * 1000 + 100000 FROM embeddings WHERE vec_id % 20 = 0")
+def split_streams(spark, sf):
+    """One stream of mutations and queries taken apart by type."""
+    q = asked(spark, sf).select(F.lit("Q").alias("op"), F.col("query_id").alias("id"), "event_time")
+    data, queries = partitioners.split(mutations(spark, sf).select("op", "id", "event_time").unionByName(q))
+    return data.withColumn("side", F.lit("data")).unionByName(queries.withColumn("side", F.lit("query")))
+
+
+@query(f"WITH {SIMPLE}, c AS (SELECT id // 100 \"window\", partition_id, count(*) n FROM s GROUP BY 1, 2) SELECT \"window\", count(*) partitions, sum(n)::BIGINT n_rows, max(n) largest, round((max(n) - avg(n)) / avg(n), 9) imbalance FROM c GROUP BY 1")
 def partition_balance(spark, sf):
-    return partitioners.balance(_simple(spark, sf))
+    """Imbalance of each window of 100 records."""
+    return partitioners.balance(_simple(spark, sf), F.floor(F.col("id") / 100)).withColumn("imbalance", F.round("imbalance", 9))
 
 
-@query()
+@query(f"WITH {SIMPLE} SELECT partition_id, count(*) n FROM s GROUP BY 1")
 def partition_histogram(spark, sf):
     return _simple(spark, sf).groupBy("partition_id").agg(F.count("*").alias("n"))
 
@@ -251,7 +301,7 @@ def partition_histogram(spark, sf):
 
 
 def _hash_sql(family: int, v: str = "embedding") -> str:
-    one = lambda j: f"floor(({_dist(v, str([float(c) for c in lsh.coefficients(family, j, DIM)]), 'dot')} + {lsh.offset(family, j, WIDTH)}::DOUBLE) / {WIDTH}::DOUBLE)::BIGINT"
+    one = lambda j: f"floor(({_dist(v, str(lsh.coefficients(family, j, DIM)), 'dot')} + {lsh.offset(family, j, DIM, WIDTH)}::DOUBLE) / {WIDTH}::DOUBLE)::BIGINT"
     return "[" + ", ".join(one(j) for j in range(HASHES)) + "]"
 
 
@@ -301,7 +351,10 @@ def knn_lsh_proximity(spark, sf):
     return _rounded(_lsh_search(spark, sf, partitioners.by_lsh_near(F.col("v"), PARTS, FAMILIES, HASHES, DIM, WIDTH, 1)))
 
 
-@query()
+_DRAWN = "[" + ", ".join(f"""{draw_sql(f"'23456789:{i}:' || id", PARTS)}::INT""" for i in range(PARTS // 3)) + "]"
+
+
+@query(f"WITH {BUCKETS}, p AS (SELECT id, v, list_concat(parts, {_DRAWN}) parts FROM b WHERE id % 20 = 0) " + _top(f"SELECT q.id query_id, b.id, {_dist('q.v', 'b.v')} dist FROM p q JOIN b ON list_has_any(q.parts, b.parts)"))
 def knn_lsh_random(spark, sf):
     return _rounded(_lsh_search(spark, sf, partitioners.by_lsh_random(F.col("v"), F.col("query_id"), PARTS, FAMILIES, HASHES, DIM, WIDTH)))
 
@@ -311,74 +364,153 @@ def recall_lsh(spark, sf):
     return knn.recall(_lsh_search(spark, sf, _lsh()), knn_l2(spark, sf))
 
 
-# Curves: of the first CURVE_DIMS components
+@query(f"WITH {BUCKETS} SELECT id query_id, len(parts)::INT n_to_combine, CASE WHEN len(parts) > 1 THEN list_max(parts) * 5 + 1 ELSE 0 END::BIGINT latency FROM b WHERE id % 20 = 0")
+def query_latency(spark, sf):
+    """Time from a query to its last partial result, where partition p answers after 5 p + 1 ms; 0 if there is but one."""
+    sent = partitioners.routed(asked(spark, sf), _lsh(), PARTS, query=True)
+    return partitioners.latency(sent.withColumn("answered", F.col("event_time") + F.col("partition_id") * 5 + 1))
+
+
+# LSH cells on a curve, with ranges that follow the data
+
+CURVE_HASHES, CURVE_WIDTH, PERIOD = 4, 0.5, 100
+_GRID = 8
+
+
+def _grid_sql(family: int) -> str:
+    one = lambda j: f"greatest(0, least(15, floor(({_dist('v', str(lsh.coefficients(family, j, DIM)), 'dot')} + {lsh.offset(family, j, DIM, CURVE_WIDTH)}::DOUBLE) / {CURVE_WIDTH}::DOUBLE)::BIGINT + {_GRID}))"
+    return "[" + ", ".join(one(j) for j in range(CURVE_HASHES)) + "]"
+
+
+def _lsh_curve_ctes() -> str:
+    """x(id, v, period, family, key), t(family, period, heads), of all rows."""
+    source = "SELECT vec_id id, embedding v FROM embeddings"
+    each = " UNION ALL ".join(f"SELECT id, {f} family, key FROM ({curve_sql.number(curve_sql.hilbert(f'SELECT id, {_grid_sql(f)} c FROM ({source})', CURVE_HASHES, 4), 2)})" for f in range(FAMILIES))
+    return (
+        f"x AS MATERIALIZED (SELECT k.*, id // {PERIOD} period FROM ({each}) k), o AS (SELECT *, row_number() OVER (PARTITION BY family, period ORDER BY key) - 1 n, count(*) OVER (PARTITION BY family, period) c FROM x), "
+        f"t AS (SELECT family, period + 1 period, list_sort(list(DISTINCT key)) heads FROM o, range(1, {PARTS}) r(i) WHERE n = c * i // {PARTS} GROUP BY 1, 2)"
+    )
+
+
+def _lsh_routes_sql(fresh: int) -> str:
+    """SELECT id, partition_id of all rows."""
+    return f"SELECT DISTINCT x.id, coalesce(len(list_filter(t.heads, lambda h: h <= x.key)), 0)::INT partition_id FROM x LEFT JOIN t ON t.family = x.family AND t.period <= x.period AND t.period > x.period - {fresh}"
 
 
-CURVE_DIMS, BITS, LOW, HIGH = 6, 4, -0.5, 0.5
+def _lsh_curve(spark, sf, fresh: int):
+    v = partitioners.lsh_cells(vectors(spark, sf), FAMILIES, CURVE_HASHES, DIM, CURVE_WIDTH, F.floor(F.col("id") / PERIOD))
+    return partitioners.by_lsh_ranges(v, partitioners.lsh_ranges(v, PARTS), FAMILIES, fresh)
 
 
-def _cells() -> object:
-    return curves.quantize(F.slice("v", 1, CURVE_DIMS), LOW, HIGH, BITS)
+@query(f"WITH {_lsh_curve_ctes()} {_lsh_routes_sql(1)}")
+def route_lsh_hilbert(spark, sf):
+    """Each row's partitions: per family, hash -> grid -> Hilbert key -> range of the hundred rows before."""
+    return partitioners.routed(_lsh_curve(spark, sf, 1), F.col("partitions"), PARTS).select("id", "partition_id")
 
 
-def _cell_sql(j: int) -> str:
-    return f"least(floor(greatest(0, least(1, (embedding[{j + 1}]::DOUBLE - ({LOW})) / {HIGH - LOW})) * {2**BITS}), {2**BITS - 1})::BIGINT"
+def _lsh_hilbert_search(spark, sf):
+    rows = partitioners.routed(_lsh_curve(spark, sf, 1), F.col("partitions"), PARTS)
+    q = _lsh_curve(spark, sf, 2).where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    sent = partitioners.routed(q, F.col("partitions"), PARTS, query=True)
+    return partitioners.ranked(partitioners.merged(partitioners.search(rows, sent, K), K))
 
 
-def _morton_sql(cell) -> str:
-    return " + ".join(f"((({cell(j)}) >> {i}) & 1) * {1 << (CURVE_DIMS * i + j)}" for j in range(CURVE_DIMS) for i in range(BITS))
+_LSH_HILBERT = f"WITH {_lsh_curve_ctes()}, d AS ({_lsh_routes_sql(1)}), a AS ({_lsh_routes_sql(2)}), p AS (SELECT DISTINCT a.id query_id, d.id FROM a JOIN d ON a.partition_id = d.partition_id WHERE a.id % 20 = 0) "
+_LSH_HILBERT_TOP = _top(f"SELECT p.query_id, p.id, {_dist('q.embedding', 'e.embedding')} dist FROM p JOIN embeddings q ON q.vec_id = p.query_id JOIN embeddings e ON e.vec_id = p.id")
 
 
-CELLS = "c AS (SELECT vec_id id, " + ", ".join(f"{_cell_sql(j)} c{j}" for j in range(CURVE_DIMS)) + " FROM embeddings)"
+@query(_LSH_HILBERT + _LSH_HILBERT_TOP)
+def knn_lsh_hilbert(spark, sf):
+    """Search of the partitions that a query's two latest range tables name."""
+    return _rounded(_lsh_hilbert_search(spark, sf))
 
 
-@query(f"WITH {CELLS} SELECT * FROM c")
+@query(_LSH_HILBERT + f", found AS ({_LSH_HILBERT_TOP}), truth AS (" + _top(f"SELECT q.vec_id query_id, e.vec_id id, {_dist('q.embedding', 'e.embedding')} dist FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0") + ") SELECT found.query_id, count(*) n_found, count(truth.id) n_hit, count(truth.id) / count(*) recall FROM found LEFT JOIN truth ON found.query_id = truth.query_id AND found.id = truth.id GROUP BY found.query_id")
+def recall_lsh_hilbert(spark, sf):
+    return knn.recall(_lsh_hilbert_search(spark, sf), knn_l2(spark, sf))
+
+
+# Curves over all components
+
+BITS, LOW, HIGH = 4, -0.5, 0.5
+
+
+def _cells(bits: int = BITS) -> object:
+    return curves.quantize(F.col("v"), LOW, HIGH, bits)
+
+
+def _cells_sql(bits: int = BITS) -> str:
+    return f"SELECT vec_id id, list_transform(embedding, lambda x: least(floor(greatest(0, least(1, (x::DOUBLE - ({LOW})) / {HIGH - LOW})) * {2**bits}), {2**bits - 1})::BIGINT) c FROM embeddings"
+
+
+def _keyed(spark, sf, curve: str):
+    """(id, key): the digits of the key as text, which sorts as the number does."""
+    return vectors(spark, sf).select("id", curves.key(curve, _cells(), DIM, BITS).cast("string").alias("key"))
+
+
+@query(_cells_sql())
 def quantize_grid(spark, sf):
-    c = vectors(spark, sf).select("id", _cells().alias("c"))
-    return c.select("id", *[F.col("c")[j].alias(f"c{j}") for j in range(CURVE_DIMS)])
+    return vectors(spark, sf).select("id", _cells().alias("c"))
 
 
-@query(f"WITH {CELLS} SELECT id, ({_morton_sql(lambda j: f'c{j}')})::BIGINT key FROM c")
+@query(curve_sql.text(curve_sql.zorder(_cells_sql(), DIM, BITS)))
 def zorder_key(spark, sf):
-    return vectors(spark, sf).select("id", _cells().alias("c")).select("id", curves.zorder(F.col("c"), CURVE_DIMS, BITS).alias("key"))
+    return _keyed(spark, sf, "zorder")
 
 
-@query(f"WITH {CELLS} SELECT id, ({_morton_sql(lambda j: f'xor(c{j}, c{j} >> 1)')})::BIGINT key FROM c")
+@query(curve_sql.text(curve_sql.gray(_cells_sql(), DIM, BITS)))
 def gray_key(spark, sf):
-    return vectors(spark, sf).select("id", _cells().alias("c")).select("id", curves.gray(F.col("c"), CURVE_DIMS, BITS).alias("key"))
+    return _keyed(spark, sf, "gray")
 
 
-@query()
+@query(curve_sql.text(curve_sql.hilbert(_cells_sql(), DIM, BITS)))
 def hilbert_key(spark, sf):
-    return vectors(spark, sf).select("id", _cells().alias("c")).select("id", curves.wide_key("hilbert", CURVE_DIMS, BITS)(F.col("c")).alias("key"))
+    return _keyed(spark, sf, "hilbert")
+
 
+_THIRDS = f"SELECT id, list_transform(c, lambda x: least(x, 8)) c FROM ({_cells_sql()})"
 
-@query()
+
+@query(curve_sql.text(curve_sql.peano(_THIRDS, DIM, 2)))
 def peano_key(spark, sf):
-    c = F.transform(curves.quantize(F.slice("v", 1, CURVE_DIMS), LOW, HIGH, 5), lambda x: F.least(x, F.lit(26)))
-    return vectors(spark, sf).select("id", c.alias("c")).select("id", curves.wide_key("peano", CURVE_DIMS, 3)(F.col("c")).alias("key"))
+    c = F.transform(_cells(), lambda x: F.least(x, F.lit(8)))
+    return vectors(spark, sf).select("id", curves.key("peano", c, DIM, 2).cast("string").alias("key"))
+
+
+def _ranges_sql(keys: str) -> str:
+    """k(id, key), e(key): heads, p(id, partition_id)."""
+    return f"k AS MATERIALIZED ({keys}), s AS (SELECT key, row_number() OVER (ORDER BY key) - 1 n, count(*) OVER () t FROM k), e AS (SELECT DISTINCT s.key FROM s, range(1, {PARTS}) r(i) WHERE s.n = s.t * r.i // {PARTS}), p AS (SELECT id, (SELECT count(*) FROM e WHERE e.key <= k.key)::INT partition_id FROM k)"
 
 
-def _curve(spark, sf):
-    keyed = zorder_key(spark, sf)
-    return keyed, partitioners.heads(keyed, PARTS)
+def _ranged(spark, sf, curve: str):
+    keyed = _keyed(spark, sf, curve)
+    return vectors(spark, sf).join(keyed, "id"), partitioners.heads(keyed, PARTS)
 
 
-@query(f"WITH {CELLS}, k AS (SELECT id, ({_morton_sql(lambda j: f'c{j}')})::BIGINT key FROM c), s AS (SELECT key, row_number() OVER (ORDER BY key) - 1 n, count(*) OVER () t FROM k), e AS (SELECT DISTINCT s.key FROM s, range(1, {PARTS}) r(i) WHERE s.n = s.t * r.i // {PARTS}) SELECT id, (SELECT count(*) FROM e WHERE e.key <= k.key)::INT partition_id FROM k")
+@query(f"WITH {_ranges_sql(curve_sql.text(curve_sql.zorder(_cells_sql(), DIM, BITS)))} SELECT * FROM p")
 def route_curve(spark, sf):
-    keyed, edges = _curve(spark, sf)
-    return keyed.select("id", partitioners.by_range(F.col("key"), edges)[0].alias("partition_id"))
+    keyed = _keyed(spark, sf, "zorder")
+    return keyed.select("id", partitioners.by_range(F.col("key"), partitioners.heads(keyed, PARTS))[0].alias("partition_id"))
 
 
-@query()
+_RING = f"WITH {_ranges_sql(curve_sql.text(curve_sql.hilbert(_cells_sql(), DIM, BITS)))}"
+
+
+@query(f"{_RING} SELECT id, (partition_id + d + {PARTS}) % {PARTS} partition_id FROM p, (VALUES (0), (-1), (1)) r(d)")
+def route_hilbert_ring(spark, sf):
+    """The range of the Hilbert key of the whole vector, and its neighbours around the ring."""
+    rows, edges = _ranged(spark, sf, "hilbert")
+    return partitioners.routed(rows, partitioners.with_ring(partitioners.by_range(F.col("key"), edges), PARTS, 3), PARTS).select("id", "partition_id")
+
+
+@query(f"{_RING} " + _top(f"SELECT q.id query_id, r.id, {_dist('a.embedding', 'b.embedding')} dist FROM p q JOIN p r ON (q.partition_id - r.partition_id + {PARTS}) % {PARTS} IN (0, 1, {PARTS - 1}) JOIN embeddings a ON a.vec_id = q.id JOIN embeddings b ON b.vec_id = r.id WHERE q.id % 20 = 0"))
 def knn_curve(spark, sf):
-    """Z-order ranges, two neighbouring partitions each."""
-    keyed, edges = _curve(spark, sf)
-    v = vectors(spark, sf).join(keyed, "id")
-    to = partitioners.with_ring(partitioners.by_range(F.col("key"), edges), PARTS, 3)
-    rows = partitioners.routed(v, partitioners.by_range(F.col("key"), edges), PARTS)
-    q = partitioners.routed(asked(spark, sf).join(keyed.withColumnRenamed("id", "query_id"), "query_id"), to, PARTS, query=True)
-    return _rounded(partitioners.ranked(partitioners.merged(partitioners.search(rows, q, K), K)))
+    """Hilbert ranges of the whole vector; a query also asks the two neighbouring partitions."""
+    rows, edges = _ranged(spark, sf, "hilbert")
+    home = partitioners.by_range(F.col("key"), edges)
+    q = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    sent = partitioners.routed(q, partitioners.with_ring(home, PARTS, 3), PARTS, query=True)
+    return _rounded(partitioners.ranked(partitioners.merged(partitioners.search(partitioners.routed(rows, home, PARTS), sent, K), K)))
 
 
 # k-means and SAX
@@ -396,6 +528,28 @@ def kmeans_route(spark, sf):
     return routed.select("id", F.explode("partitions").alias("p")).select("id", F.element_at(names, F.col("p") + 1).cast("int").alias("partition_id"))
 
 
+CLUSTERS, ROUNDS, FIRST = 4, 3, 250
+
+
+def _fit_sql() -> str:
+    """f0 .. f<ROUNDS>(n, c): centroids after each round."""
+    out = f"h AS (SELECT vec_id id, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings WHERE vec_id < {FIRST}), f0 AS (SELECT row_number() OVER (ORDER BY {draw_sql('id')}, id) - 1 n, v c FROM h QUALIFY n < {CLUSTERS})"
+    for i in range(ROUNDS):
+        near = f"SELECT id, v, arg_min(n, (d, n)) n FROM (SELECT h.id, h.v, f{i}.n, {_dist('h.v', f'f{i}.c')} d FROM h, f{i}) GROUP BY id, v"
+        out += f", f{i + 1} AS (SELECT n, list(a ORDER BY j) c FROM (SELECT n, j, round(avg(x), 9) a FROM (SELECT n, unnest(v) x, generate_subscripts(v, 1) j FROM ({near})) GROUP BY 1, 2) GROUP BY 1)"
+    return out
+
+
+@query(f"WITH {_fit_sql()} SELECT vec_id id, {draw_sql('vec_id', CLUSTERS)}::INT partition_id FROM embeddings WHERE vec_id < {FIRST} UNION ALL SELECT id, n::INT FROM (SELECT e.vec_id id, f.n, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_dist('e.embedding', 'f.c')}, f.n) r FROM embeddings e, f{ROUNDS} f WHERE e.vec_id >= {FIRST}) WHERE r <= 2")
+def kmeans_window_route(spark, sf):
+    """Rows go to the two nearest of the centroids fitted on the window before; before the first fit, to one by a draw."""
+    v = vectors(spark, sf)
+    old, new = v.where(f"id < {FIRST}"), v.where(f"id >= {FIRST}")
+    centroids = partitioners.fit_centroids(old, CLUSTERS, ROUNDS)
+    drawn = partitioners.routed(old, partitioners.simple(F.col("id"), CLUSTERS), CLUSTERS).select("id", "partition_id")
+    return drawn.unionByName(partitioners.routed(partitioners.by_centroids(new, centroids, 2), F.col("partitions"), CLUSTERS).select("id", "partition_id"))
+
+
 SEGMENTS, LETTER_BITS = 4, 2
 
 
@@ -421,12 +575,24 @@ def hot_words(spark, sf):
     return partitioners.hot(sax_word(spark, sf), F.floor(F.col("id") / WINDOW), 5)
 
 
-@query()
+_ODYSSEY = (
+    f"n AS (SELECT id // {WINDOW} g, word, count(*) n FROM w GROUP BY 1, 2), hot AS (SELECT g + 1 g, word FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, word) r FROM n) WHERE r <= 5), "
+    f"c AS (SELECT g + 1 g, home, n, sum(n) OVER (PARTITION BY g) / 4 mean FROM (SELECT id // {WINDOW} g, word % 4 home, count(*) n FROM w GROUP BY 1, 2)), heavy AS (SELECT g, home FROM c WHERE n > mean * 1.5), "
+    f"grp AS (SELECT w.id, CASE WHEN hot.word IS NOT NULL OR heavy.home IS NOT NULL THEN {draw_sql('w.id', 4)} ELSE w.word % 4 END::INT grp FROM w LEFT JOIN hot ON hot.g = w.id // {WINDOW} AND hot.word = w.word LEFT JOIN heavy ON heavy.g = w.id // {WINDOW} AND heavy.home = w.word % 4)"
+)
+
+
+@query(f"WITH {_sax_sql()}, {_ODYSSEY} SELECT id, unnest([grp, grp + 4]) partition_id FROM grp")
 def odyssey_route(spark, sf):
-    routed = partitioners.odyssey(sax_word(spark, sf), F.floor(F.col("id") / WINDOW), 4, 2, 5)
+    """Rows of the words and groups that were hot in the window before are spread; all go to both replicas."""
+    routed = partitioners.odyssey(sax_word(spark, sf), F.floor(F.col("id") / WINDOW), 4, 2, 5, skew=1.5)
     return routed.select("id", F.explode("partitions").alias("partition_id"))
 
 
-@query()
+@query(f"SELECT query_id, query_id || ' 0 ' || string_agg('(' || id || ',' || printf('%.9f', dist) || ')', ' ' ORDER BY rank) line FROM ({_knn_sql()}) GROUP BY query_id")
 def result_lines(spark, sf):
-    return knn.as_text(knn_l2(spark, sf), F.lit(0))
+    """Result files' lines, written as text and read back."""
+    from tidewater.session import Scratch
+
+    lines = Scratch(spark, "results").keep(knn.as_text(knn_l2(spark, sf), F.lit(0)).select("line"), "lines", "text")
+    return lines.select(F.substring_index("line", " ", 1).cast("bigint").alias("query_id"), "line")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ KINDS = {"fvecs": ("<f4", 4, "float"), "bvecs": ("u1", 1, "float"), "ivecs": ("<
 def read(spark: SparkSession, path: str, kind: str, dim: int, *, skip: int = 0, limit: int = 0, loops: int = 1, signed: bool = False) -> DataFrame:
     """(id, v): records `[dim][dim numbers]` of one file or folder of files.
 
-    Files are read in record-aligned ranges by their own tasks through Spark's file systems, so a large
-    file splits. Ids count records over the files in order of path, from 0, and go on over loops. Bytes
-    are unsigned unless `signed`. A record of another dimension, or a cut one, is an error.
+    Files are split at whole records by Hadoop's fixed-length input format (the one use of an RDD:
+    no DataFrame source reads such ranges), whatever store they are in. Ids count records over the
+    files in order of path, from 0, and go on over loops. Bytes are unsigned unless `signed`. A
+    record of another dimension, or a cut one, is an error.
     """
     if kind not in KINDS:
         raise ValueError(kind)
@@ -27,30 +29,28 @@ def read(spark: SparkSession, path: str, kind: str, dim: int, *, skip: int = 0,
     record = 4 + dim * width
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)
-    files = sorted((str(s.getPath()), s.getLen()) for s in top.getFileSystem(conf).listStatus(top) if s.isFile())
-    first, known = 0, []
+    files = sorted((str(s.getPath()), s.getLen()) for s in top.getFileSystem(conf).listStatus(top) if s.isFile() and not str(s.getPath().getName()).startswith((".", "_")))
+    first, out = 0, None
+
+    def decode(it: Iterator[tuple[int, bytearray]], first: int) -> Iterator[tuple[int, list]]:
+        while rows := list(itertools.islice(it, 4096)):
+            raw = np.frombuffer(b"".join(bytes(r) for _, r in rows), np.uint8).reshape(-1, record)
+            dims = raw[:, :4].copy().view("<i4").ravel()
+            if (dims != dim).any():
+                raise ValueError(f"a record of dimension {dims[dims != dim][0]}, not {dim}")
+            v = raw[:, 4:].copy().view(number).astype(np.int32 if element == "int" else np.float32)
+            yield from ((first + at // record, x) for (at, _), x in zip(rows, v.tolist()))
+
     for p, size in files:
         if size % record:
             raise ValueError(f"{p}: {size} bytes are not records of {record}")
-        known.append((p, first))
+        if size:
+            lib = "org.apache.hadoop"
+            each = spark.sparkContext.newAPIHadoopFile(p, f"{lib}.mapreduce.lib.input.FixedLengthInputFormat", f"{lib}.io.LongWritable", f"{lib}.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(record)})
+            one = spark.createDataFrame(each.mapPartitions(partial(decode, first=first)), f"id long, v array<{element}>")
+            out = one if out is None else out.unionByName(one)
         first += size // record
-    base = spark.createDataFrame(known, "path string, first long") if known else spark.createDataFrame([], "path string, first long")
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    named = raw.join(F.broadcast(base), "path")
-
-    def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for content, at in zip(pdf["content"], pdf["first"]):
-                rows = np.frombuffer(content, np.uint8).reshape(-1, record)
-                for i in range(0, len(rows), 8192):
-                    part = rows[i : i + 8192]
-                    dims = part[:, :4].copy().view("<i4").ravel()
-                    if (dims != dim).any():
-                        raise ValueError(f"a record of dimension {dims[dims != dim][0]}, not {dim}")
-                    v = part[:, 4:].copy().view(number).astype(np.int32 if element == "int" else np.float32)
-                    yield pd.DataFrame({"id": at + i + np.arange(len(part)), "v": list(v)})
-
-    out = named.mapInPandas(decode, f"id long, v array<{element}>").where(F.col("id") >= skip)
+    out = (out if out is not None else spark.createDataFrame([], f"id long, v array<{element}>")).where(F.col("id") >= skip)
     n = max(0, first - skip)
     if limit:
         out, n = out.where(F.col("id") < skip + limit), min(n, limit)
@@ -59,6 +59,25 @@ def read(spark: SparkSession, path: str, kind: str, dim: int, *, skip: int = 0,
     return out
 
 
+def write(rows: DataFrame, path: str, kind: str, order: str = "id", v: str = "v") -> int:
+    """rows in order as one file of records; how many there were.
+
+    Spark has no writer for such files, so the rows pass through the driver, a partition at a time.
+    """
+    spark = rows.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    n = 0
+    try:
+        it = rows.orderBy(order).select(v).toLocalIterator()
+        while some := [r[0] for r in itertools.islice(it, 1024)]:
+            out.write(bytearray(encode(some, kind)))
+            n += len(some)
+    finally:
+        out.close()
+    return n
+
+
 def encode(rows: list, kind: str) -> bytes:
     """Records of a small list of vectors (for tests and uploads of fixtures)."""
     number = KINDS[kind][0]
