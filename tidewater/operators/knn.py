@@ -102,9 +102,10 @@ def _block(rows: DataFrame, part: DataFrame, k: int, metric: str, time_filter: s
         if not len(qm):
             return
         query, dist, near, ids = np.empty(0, np.int64), np.empty(0), np.empty((0, dim)), None
+        step = max(64, 16 * PAIRS // len(qm))  # so many rows at once, for 32 MB of distances
         for whole in it:
-            for i in range(0, whole.num_rows, 4096):
-                batch = whole.slice(i, 4096)
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
                 m, good = _matrix(batch.column(1), dim)
                 if not len(m):
                     continue

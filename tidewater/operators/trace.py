@@ -42,13 +42,20 @@ def reuse_interval(log: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def co_access(log: DataFrame, op: str, key: str) -> DataFrame:
-    """(a, b, r): correlation of two access types' counts over keys."""
-    kinds = log.select(op).distinct()
-    c = log.groupBy(key, op).agg(F.count("*").alias("n"))
-    keys = log.select(key).distinct()
-    full = keys.join(F.broadcast(kinds)).join(c, [key, op], "left").select(key, op, F.coalesce("n", F.lit(0)).alias("n"))
-    a, b = (full.select(key, F.col(op).alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    return a.join(b, key).where("a < b").groupBy("a", "b").agg(F.corr("na", "nb").alias("r"))
+    """(a, b, r): correlation of two access types' counts over all keys.
+
+    From sums: a key that lacks a type counts as zero and adds nothing, so only pairs that occur are
+    joined, by key. The tables of types have a row for each record type.
+    """
+    c = log.groupBy(F.col(key).alias("key"), F.col(op).alias("op")).agg(F.count("*").cast("double").alias("n"))
+    n = F.lit(log.select(key).distinct().count()).cast("double")
+    one = c.groupBy("op").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    a, b = (one.toDF(x, f"s{x}", f"q{x}") for x in ("a", "b"))
+    ca, cb = (c.toDF("key", x, f"n{x}") for x in ("a", "b"))
+    both = ca.join(cb, "key").where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("ab"))
+    pairs = a.join(b, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+    spread = F.sqrt((n * F.col("qa") - F.col("sa") * F.col("sa")) * (n * F.col("qb") - F.col("sb") * F.col("sb")))
+    return pairs.select("a", "b", ((n * F.coalesce("ab", F.lit(0.0)) - F.col("sa") * F.col("sb")) / F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
 def temperature(accesses: DataFrame, file: str = "file", step: str = "step", hits: str = "hits", lookups: str = "lookups", similarity: str = "similarity", rate: float = 0.9) -> DataFrame:

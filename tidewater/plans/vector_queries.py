@@ -108,7 +108,7 @@ def knn_memonly(spark, sf):
 
 @query(f"WITH p AS (SELECT a.vec_id query_id, b.vec_id id, a.embedding x, b.embedding y FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT query_id, id, round({_dist('x', 'y')}, 9) l2, round({_dist('x', 'y', 'ip')}, 9) ip, round({_dist('x', 'y', 'cosine')}, 9) cosine, round({_dist('x', 'y', 'dot')}, 9) dot, list_sum(list_transform(list_zip(x, y), lambda p: (floor(p[1]::DOUBLE * 100)::BIGINT - floor(p[2]::DOUBLE * 100)::BIGINT) * (floor(p[1]::DOUBLE * 100)::BIGINT - floor(p[2]::DOUBLE * 100)::BIGINT)))::BIGINT l2_int FROM p")
 def distance_pairs(spark, sf):
-    """All metrics of the stated queries against all rows (a stated query set, broadcast: a twentieth of the ids)."""
+    """All metrics of the stated queries against all rows (a stated query set: a twentieth of the ids)."""
     v = vectors(spark, sf)
     q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("x"))
     p = v.select("id", F.col("v").alias("y")).join(q)

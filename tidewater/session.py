@@ -60,8 +60,19 @@ class Scratch:
         df.write.mode("overwrite").format(form).save(path)
         return self.spark.read.schema(df.schema).format(form).load(path)
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
         """Delete one written table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._fs(f"{self.dir}/{name}")
+        fs.delete(path, True)
+
+    def clear(self, *but: str) -> None:
+        """Delete all written tables but those that the result still reads."""
+        path, fs = self._fs(self.dir)
+        if fs.exists(path):
+            for s in fs.listStatus(path):
+                if s.getPath().getName() not in but:
+                    fs.delete(s.getPath(), True)
