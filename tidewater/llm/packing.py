@@ -29,8 +29,8 @@ from tidewater.llm.hashing import words
 from tidewater.session import Scratch
 
 CAPACITY, SMALL, GROUPS = 2048, 200, 60
-#: Words that a Python worker remembers, and bytes of text that it takes at a time.
-MOST_CACHED, CELL_BITS, BATCH_BYTES = 1 << 20, 22, 1 << 20
+#: Words that a Python worker remembers, parts of words besides, and bytes of text that it takes at a time.
+MOST_CACHED, CELL_BITS, MOST_PARTS, BATCH_BYTES = 1 << 19, 21, 1 << 15, 1 << 19
 
 
 class WordTokenizer:
@@ -77,6 +77,8 @@ class WordTokenizer:
             ids = self.part.get(x)
             if ids is None:
                 mapped = x if x.isascii() and x.isprintable() else "".join(self.bytes[b] for b in x.encode())
+                if len(self.part) >= MOST_PARTS:
+                    self.part.clear()
                 ids = self.part[x] = [t.id for t in self.model.tokenize(mapped)]
             out += ids
         return out
