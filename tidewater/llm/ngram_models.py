@@ -1,13 +1,14 @@
 """Language ID and toxicity: linear models over hashed character n-grams, scored in numpy.
 
 Language ID is multinomial naive Bayes: log-probabilities of hashed 1- to 3-grams per language, a
-matrix of fixed height and one column per language (at most MOST_LANGS), broadcast to the scorers.
+matrix of one column per language and a bounded size, broadcast to the scorers.
 Toxicity is logistic regression on the distinct hashed 2- to 5-grams of a text, each feature scaled
 by its naive Bayes log-count ratio before fitting.
 
 Defined results: a null or empty text has no n-gram; its language is "und" (so is that of a text
-without a letter) with score 0, and its toxicity is the model's intercept. Repeated rows count and
-are scored each for itself. Without any labelled row, every language is "und" and every toxicity
+without a letter) with score 0, and its toxicity is the model's intercept. Repeated rows, also under one
+id, are scored each for itself; in training languages count them all, toxicity one row of an id.
+Languages of another type than string are taken as text. Without any labelled row, every language is "und" and every toxicity
 0.5. Other columns of the input are ignored. Whole texts are read, in segments of SEGMENT characters
 that overlap by the n-gram length less one, so memory is bounded for any text.
 """
@@ -27,7 +28,7 @@ TOXIC_ORDERS, TOXIC_BITS = (2, 3, 4, 5), 20
 #: Bounds of the sample that the toxicity fit takes: labelled rows, and characters of their texts.
 MOST_LABELLED, MOST_CHARS = 6000, 16_000_000
 #: Features of a smaller log-count ratio, or in fewer labelled texts, get no weight; steps of the fit.
-LEAST_RATIO, LEAST_DOCS, ROUNDS, CHUNK_DOCS = 0.4, 3, 80, 256
+LEAST_RATIO, LEAST_DOCS, ROUNDS, CHUNK_DOCS = 0.4, 3, 80, 128
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
 
@@ -35,22 +36,26 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
+def _hashes(c: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket of each run of n codes: the highest bits of a mixed 32-bit hash."""
+    h = c[: len(c) - n + 1] * _K[0]
+    for i in range(1, n):
+        h = (h ^ (h >> np.uint32(15))) * _K[i] + c[i : len(c) - n + 1 + i]
+    h ^= h >> np.uint32(16)
+    h *= _K[n - 1]
+    h ^= h >> np.uint32(13)
+    h *= _K[0] + np.uint32(2 * n)
+    return (h >> np.uint32(32 - bits)).astype(np.int32)
+
+
 def buckets(text: str, orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
     """Buckets of all n-grams of a lower-cased text, segment by segment, order by order."""
     text = text.lower()
     for at in range(0, len(text), SEGMENT):
         for n in orders:
             c = _codes(text[at : at + SEGMENT + n - 1])
-            if len(c) < n:
-                continue
-            h = c[: len(c) - n + 1] * _K[0]
-            for i in range(1, n):
-                h = (h ^ (h >> np.uint32(15))) * _K[i] + c[i : len(c) - n + 1 + i]
-            h ^= h >> np.uint32(16)
-            h *= _K[n - 1]
-            h ^= h >> np.uint32(13)
-            h *= _K[0] + np.uint32(2 * n)
-            yield (h >> np.uint32(32 - bits)).astype(np.int32)
+            if len(c) >= n:
+                yield _hashes(c, n, bits)
 
 
 def _batches(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -62,69 +67,105 @@ def _batches(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Recor
 # Language ID
 
 
+def _sparse(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every n-gram of many texts, in pieces of bounded size: short texts are hashed together."""
+    row, codes, room = [], [], SEGMENT
+
+    def hashed():
+        flat, owner = np.concatenate(codes), np.repeat(row, [len(c) for c in codes])
+        for n in orders:
+            if len(flat) < n:
+                continue
+            inside = owner[: len(owner) - n + 1] == owner[n - 1 :]  # no n-gram runs from one text into the next
+            yield owner[: len(owner) - n + 1][inside], _hashes(flat, n, bits)[inside]
+
+    for i, text in enumerate(texts):
+        if len(text) > SEGMENT:
+            for b in buckets(text, orders, bits):
+                yield np.full(len(b), i), b
+            continue
+        c = _codes(text.lower())
+        if len(c) > room and codes:
+            yield from hashed()
+            row, codes, room = [], [], SEGMENT
+        row.append(i)
+        codes.append(c)
+        room -= len(c)
+    if codes:
+        yield from hashed()
+
+
 def language_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, n_docs, bucket, n): n-gram counts of all rows of non-null language; bucket -1 counts the documents."""
+    """(lang, bucket, n): n-gram counts of all rows of non-null language; bucket -1 counts the documents."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in it:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                k = lang.as_py()
+        for batch in _batches(it):
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(lang, []).append(text or "")
+            for k, texts in by.items():
+                seen[k] = seen.get(k, 0) + len(texts)
                 into = total.setdefault(k, np.zeros(1 << LANG_BITS, np.int64))
-                seen[k] = seen.get(k, 0) + 1
-                for b in buckets(text.as_py() or "", LANG_ORDERS, LANG_BITS):
-                    if len(b) > 4096:
-                        into += np.bincount(b, minlength=1 << LANG_BITS)
-                    else:
-                        np.add.at(into, b, 1)
+                for _, b in _sparse(texts, LANG_ORDERS, LANG_BITS):
+                    into += np.bincount(b, minlength=1 << LANG_BITS)
         for k, into in total.items():
             at = np.flatnonzero(into)
             yield pa.record_batch([pa.array([k] * (len(at) + 1)), pa.array(np.concatenate(([-1], at)).astype(np.int32)), pa.array(np.concatenate(([seen[k]], into[at])))], ["lang", "bucket", "n"])
 
-    each = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    each = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     return each.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages in order, log-prior, log-probabilities [bucket, language]); counts cover all rows given."""
+    """(languages in order, log-prior, log-probabilities [bucket, language]); counts cover all rows given.
+
+    The matrix has 2**LANG_BITS buckets up to MOST_LANGS languages; with more of them neighbouring
+    buckets are put together, so that it keeps its size.
+    """
     counts = language_counts(docs, text_col, lang_col)
-    packed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("x"))  # 2**LANG_BITS + 1 entries a language
-    rows = packed.select("lang", F.col("x.bucket").alias("b"), F.col("x.n").alias("n")).orderBy("lang").limit(MOST_LANGS + 1).toArrow()
-    langs = rows.column("lang").to_pylist()
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    seen, prior = np.zeros((1 << LANG_BITS, len(langs))), np.zeros(len(langs))
-    for k in range(len(langs)):
-        b, n = (np.array(rows.column(c)[k].values) for c in ("b", "n"))
-        prior[k] = n[b == -1].sum()
-        seen[b[b >= 0], k] = n[b >= 0]
-    table = np.log(seen + 0.5) - np.log((seen + 0.5).sum(axis=0, keepdims=True))
-    return langs, np.log(prior / prior.sum()), table.astype(np.float32)
+    priors = {r["lang"]: r["n"] for r in counts.where("bucket = -1").select("lang", "n").collect()}  # a row for each language
+    langs = sorted(priors)
+    shift = max(0, (len(langs) - 1) // MOST_LANGS).bit_length()
+    folded = counts.where("bucket >= 0").groupBy("lang", F.shiftright("bucket", shift).alias("b")).agg(F.sum("n").alias("n"))
+    got = folded.toArrow()  # the matrix's own size at most
+    seen = np.full((1 << (LANG_BITS - shift), len(langs)), 0.5)
+    place = {k: i for i, k in enumerate(langs)}
+    if got.num_rows:
+        code = got.column("lang").combine_chunks().dictionary_encode()
+        column = np.array([place[k] for k in code.dictionary.to_pylist()])[np.asarray(code.indices)]
+        seen[np.asarray(got.column("b")), column] += np.asarray(got.column("n"))
+    table = np.log(seen) - np.log(seen.sum(axis=0, keepdims=True))
+    prior = np.array([priors[k] for k in langs], dtype=np.float64)
+    return langs, np.log(prior / prior.sum()) if langs else prior, table.astype(np.float32)
 
 
 def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): the likeliest language and its posterior probability."""
+    """(id, lang_pred, score): the likeliest language, the first in order among equals, and its posterior probability."""
     langs, prior, _ = model
-    shared = docs.sparkSession.sparkContext.broadcast(model[2])  # 2**LANG_BITS x len(langs) floats
+    bits = max(1, int(model[2].shape[0])).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(model[2])  # 2**LANG_BITS x MOST_LANGS floats at most
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in _batches(it, 2048):
-            pred, prob = [], []
-            for text in batch.column(1):
-                x = text.as_py()
-                if not langs or x is None or not any(map(str.isalpha, x)):
-                    pred.append("und")
-                    prob.append(0.0)
+        for batch in _batches(it):
+            texts = batch.column(1).to_pylist()
+            known = [bool(langs) and x is not None and any(map(str.isalpha, x)) for x in texts]
+            sums = np.tile(prior, (len(texts), 1))
+            for row, b in _sparse([x if k else "" for x, k in zip(texts, known)], LANG_ORDERS, bits):
+                if len(langs) <= 8:
+                    for k in range(len(langs)):
+                        sums[:, k] += np.bincount(row, weights=table[b, k], minlength=len(texts))
                     continue
-                s = prior.copy()
-                for b in buckets(x, LANG_ORDERS, LANG_BITS):
-                    s += table.take(b, axis=0).sum(axis=0, dtype=np.float64) if len(langs) <= 8 else table.take(b, axis=0).sum(axis=0)
-                k = int(np.argmax(s))
-                pred.append(langs[k])
-                prob.append(float(1 / np.exp(s - s[k]).sum()))
-            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], ["id", "lang_pred", "score"])
+                step = max(1, (1 << 22) // len(langs))
+                for a in range(0, len(b), step):  # rows of one text stand together
+                    r = row[a : a + step]
+                    first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                    sums[r[first]] += np.add.reduceat(table.take(b[a : a + step], axis=0), first, axis=0, dtype=np.float64)
+            best = sums.argmax(axis=1) if langs else np.zeros(len(texts), np.int64)
+            prob = [float(1 / np.exp(s - s[k]).sum()) if ok else 0.0 for s, k, ok in zip(sums, best, known)]
+            yield pa.record_batch([batch.column(0), pa.array([langs[k] if ok else "und" for k, ok in zip(best, known)], pa.string()), pa.array(prob, pa.float64())], ["id", "lang_pred", "score"])
 
     each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return each.mapInArrow(score, f"id {dict(each.dtypes)['id']}, lang_pred string, score double")
@@ -164,8 +205,10 @@ def _fit(found: list[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray]:
         found[i] = f[f >= 0]
     size = np.array([len(f) for f in found])
     norm = np.array([np.sqrt(max(1.0, (scale[f] ** 2).sum())) for f in found])
-    chunks = [(at, np.concatenate(found[at : at + CHUNK_DOCS])) for at in range(0, len(found), CHUNK_DOCS)]
-    found.clear()
+    chunks = []
+    for at in range(0, len(found), CHUNK_DOCS):
+        chunks.append((at, np.concatenate(found[at : at + CHUNK_DOCS])))
+        found[at : at + CHUNK_DOCS] = [number[:0]] * len(found[at : at + CHUNK_DOCS])  # freed at once
     intercept, w = 0.0, np.zeros(len(used))
     speed, drift, slope, drift0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):  # full-batch Adam on the log-loss
@@ -224,8 +267,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             order += batch.column(0).to_pylist()
             y += batch.column(1).to_pylist()
             found += [np.frombuffer(x.as_py(), np.int32) for x in batch.column(2)]
+            del batch
         by = np.argsort(np.array(order, np.int64), kind="stable")  # sums do not depend on how rows arrive
-        y, found = np.array(y, dtype=np.float64)[by], [found[i] for i in by]
+        y, found = np.array(y, dtype=np.float64)[by], [found[i] for i in by]  # the arrays themselves stay in place
         n = [int((y == k).sum()) for k in (0, 1)]
         model = _fit(found, y) if min(n) else (0.0, np.zeros((2, 1 << TOXIC_BITS), np.float32))
         yield pa.record_batch([pa.array([model[0]]), pa.array([model[1].tobytes()], pa.binary()), *[pa.array([k]) for k in n]], ["intercept", "table", "n0", "n1"])
