@@ -113,9 +113,17 @@ good AS (SELECT * FROM nodes WHERE v IS NOT NULL AND len(v) > 0 AND len(list_fil
 e AS MATERIALIZED (SELECT x.id u, y.id v FROM good x JOIN good y ON x.id <> y.id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95), {_COMPONENTS}
 SELECT nodes.id vec_id, (SELECT count(*) FROM e WHERE e.u = nodes.id) n_links, c.component component_id, nodes.id = c.component kept FROM nodes JOIN c ON c.a = nodes.id"""
 
-_LINK = r"""list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1]"""
-_META = r"""list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1]"""
-_OP5 = rf"""WITH RECURSIVE tags AS (SELECT url source, replace(unnest([regexp_extract({_LINK}, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract({_META}, '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1)]), '&amp;', '&') link FROM pages WHERE contains(url, '://')),
+def _attribute(tag: str, name: str) -> str:
+    """A tag's attribute for DuckDB, whose expressions know no case."""
+    got = [rf"""nullif(regexp_extract({tag}, '(?i)(?:^|[\s"''/]){name}\s*=\s*{form}', 1), '')""" for form in ('"([^"]*)"', "''([^'']*)''", r"""([^\s"''>][^\s>]*)""")]
+    return f"coalesce({', '.join(got)}, '')"
+
+
+_TAGS = (
+    f"SELECT url source, {_attribute('t', 'href')} link FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<link\\b([^<>]*)>', 1)) t FROM pages WHERE contains(url, '://')) WHERE list_contains(regexp_split_to_array(lower({_attribute('t', 'rel')}), '\\s+'), 'canonical') "
+    f"UNION ALL SELECT url, regexp_extract({_attribute('t', 'content')}, '(?i)\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)', 1) FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<meta\\b([^<>]*)>', 1)) t FROM pages WHERE contains(url, '://')) WHERE lower({_attribute('t', 'http-equiv')}) = 'refresh'"
+)
+_OP5 = rf"""WITH RECURSIVE tags AS (SELECT source, replace(link, '&amp;', '&') link FROM ({_TAGS})),
 named AS (SELECT source, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(source, '^([^/?#]*:)//', 1) || link WHEN starts_with(link, '/') THEN regexp_extract(source, '^([^/?#]*://[^/?#]*)', 1) || link ELSE coalesce(nullif(regexp_extract(source, '^([^/?#]*://[^/?#]*/(?:[^?#]*/)?)', 1), ''), regexp_extract(source, '^([^/?#]*://[^/?#]*)', 1) || '/') || link END target FROM tags WHERE link IS NOT NULL AND link <> ''),
 pairs AS (SELECT DISTINCT regexp_replace(source, '(?s)#.*$', '') a, regexp_replace(target, '(?s)#.*$', '') b FROM named),
 e AS MATERIALIZED (SELECT a u, b v FROM pairs UNION SELECT b, a FROM pairs), nodes AS (SELECT DISTINCT u id FROM e),
@@ -135,5 +143,22 @@ met AS (SELECT x.id a, y.id b, count(*) i FROM each x JOIN each y ON x.k = y.k A
 e AS MATERIALIZED (SELECT a u, b v FROM met JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE 100 * i >= 85 * (x.n + y.n - i)), {_COMPONENTS}
 SELECT nodes.id doc_id, nodes.n n_shingles, c.component component_id FROM nodes JOIN c ON c.a = nodes.id"""
 
+#: Edges by rule for alias_verdicts: of every three pages two redirect to the first, and every ninth to the page before it.
+_ALIASES = "SELECT a.url source, b.url target FROM pages a JOIN pages b ON b.page_id = CASE WHEN a.page_id % 9 = 0 THEN a.page_id - 1 ELSE a.page_id - a.page_id % 3 END WHERE a.page_id % 54 <> 0 AND a.page_id <> b.page_id AND a.url IS NOT NULL AND b.url IS NOT NULL"
+
+
+def alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator over all pages with redirects by rule, since the pages themselves name none."""
+    from tidewater.llm import url_filter as U
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    to = F.when(F.col("page_id") % 9 == 0, F.col("page_id") - 1).otherwise(F.col("page_id") - F.col("page_id") % 3)
+    a = pages.where("page_id % 54 <> 0 and url is not null").select(F.col("url").alias("source"), to.alias("to"), "page_id").where("to <> page_id")
+    edges = a.join(pages.where("url is not null").select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to")
+    return U.judge(pages, edges).withColumnRenamed("id", "page_id")
+
+
 #: The others fit models, place by heuristics, tokenise or tile, which SQL cannot express; tests hold them against brute force.
 SQL: dict[str, str] = {"op3_embedding_near_dedup": _OP3, "op5_url_filters": _OP5, "op6_ngram_jaccard_join": _OP6}
+QUERIES["alias_verdicts"] = alias_verdicts
+SQL["alias_verdicts"] = _OP5.replace("pairs AS (SELECT DISTINCT", f"pairs AS (SELECT DISTINCT regexp_replace(source, '(?s)#.*$', '') a, regexp_replace(target, '(?s)#.*$', '') b FROM ({_ALIASES}) UNION SELECT", 1)

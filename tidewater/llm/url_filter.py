@@ -6,8 +6,9 @@ page takes its class's: allow if a page of the class is explicitly allowed, else
 blocked, else allow.
 
 Defined results: a null address, or one without ://, has an empty host and path, no rule fits it and
-it is allowed; repeated addresses share a class; an empty table gives an empty result; a page
-without html has no outgoing edge; other columns are ignored.
+it is allowed; repeated addresses share a class, and rows that repeat an id are judged each for itself;
+an empty table gives an empty result; a page without html has no outgoing edge; of a page that names
+several targets all count; an allow and a block in one class give allow; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from tidewater.session import Scratch
 #: The rules (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>;]+)"""
+#: A whole tag: its text ends at the next bracket, so all tags of a page are found in one pass.
+LINK, META = r"(?i)<link\b([^<>]*+)>", r"(?i)<meta\b([^<>]*+)>"
+TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
 def host(url: Column) -> Column:
@@ -61,11 +63,21 @@ def _resolved(link: Column, url: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted or not; empty if there is none."""
+    got = [F.regexp_extract(tag, rf"""(?i)(?:^|[\s"'/]){name}\s*=\s*{form}""", 1) for form in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'>][^\s>]*)""")]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in got], F.lit(""))
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) addresses of the canonical and redirect edges that pages' html names."""
-    named = lambda word, pattern: F.when(F.instr(F.lower(html_col), word) > 0, F.nullif(F.regexp_extract(html_col, pattern, 1), F.lit("")))
-    found = F.array_compact(F.array(named("canonical", CANONICAL), named("refresh", REFRESH)))
-    return pages.where(F.col(url_col).contains("://")).select(F.col(url_col).alias("source"), F.explode(found).alias("link")).select("source", _resolved(F.col("link"), F.col("source")).alias("target"))
+    """(source, target) addresses of the canonical and redirect edges that pages' html names: of every link tag and every meta tag."""
+    tags = lambda pattern: F.coalesce(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+    named = lambda word, found: F.when(F.instr(F.lower(html_col), word) > 0, found).otherwise(F.array().cast("array<string>"))
+    canonical = F.filter(tags(LINK), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(tags(META), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    found = F.concat(named("canonical", F.transform(canonical, lambda t: _attribute(t, "href"))), named("refresh", F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), TARGET, 1))))
+    some = pages.where(F.col(url_col).contains("://")).select(F.col(url_col).alias("source"), F.explode(found).alias("link"))
+    return some.where("link <> ''").select("source", _resolved(F.col("link"), F.col("source")).alias("target"))
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -77,10 +89,9 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col:
     pairs = scratch.keep(pairs, "pairs")
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     judged = urls.withColumn("own", rule(F.col("host"), F.col("path"), rules))
-    if pairs.isEmpty():
-        return judged.select("id", "host", "path", "own.rule", F.coalesce("own.verdict", F.lit("allow")).alias("verdict"))
     code = lambda c: F.xxhash64(F.lit("node"), c)
-    cc = scratch.keep(components(pairs.select(code("source").alias("u"), code("target").alias("v")), scratch), "cc")
+    cc = scratch.keep(components(pairs.select(code("source").alias("u"), code("target").alias("v")), scratch, "round"), "cc")
+    scratch.clear("pairs", "cc")
     nodes = pairs.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("code", code("node"))
     nodes = nodes.join(cc.withColumnRenamed("node", "code"), "code", "left").select("node", F.coalesce("component", "code").alias("component"))
     ruled = nodes.withColumn("v", rule(host(F.col("node")), path(F.col("node")), rules)["verdict"]).where("v is not null").groupBy("component").agg(F.max(F.col("v") == "allow").alias("any_allow"))
