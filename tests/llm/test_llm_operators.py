@@ -190,7 +190,7 @@ def test_hnsw(spark):
     assert hnsw.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_hnsw_audit_is_not_hidden_by_a_hot_group():
+def test_hnsw_audit_is_not_hidden_by_a_hot_group(monkeypatch):
     """A search that finds a hot group but misses the isolated pairs is widened until it finds them."""
     r = np.random.default_rng(5)
     x = r.normal(size=(600, 32))
@@ -205,11 +205,12 @@ def test_hnsw_audit_is_not_hidden_by_a_hot_group():
         def search(self, q, least, width):
             rows, nodes = np.nonzero(q @ x.T >= least)
             own = (q[rows] == x[nodes]).all(axis=1)
-            found = (nodes < 300) | own | (width >= 128)
+            found = (nodes < 300) | own | (width >= 32)
             return rows[found], nodes[found]
 
+    monkeypatch.setattr(hnsw, "WHOLE", 2)
     rows, nodes, _, width = hnsw.audited(Narrow(), x, 0.95, np.arange(600))
-    assert width == 128 and {(i, i + 10) for i in range(400, 410)} <= set(zip(rows.tolist(), nodes.tolist()))
+    assert width == 32 and {(i, i + 10) for i in range(400, 410)} <= set(zip(rows.tolist(), nodes.tolist()))
 
 
 def base_spans(t):
