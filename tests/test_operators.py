@@ -275,3 +275,23 @@ def test_fitted_centroids(spark):
     to = {r["id"]: r["partitions"][0] for r in partitioners.by_centroids(rows, centroids, 2).collect()}
     assert len(centroids) == 3 and sum((np.array(points[i]) - centroids[p]) @ (np.array(points[i]) - centroids[p]) for i, p in to.items()) <= sum((np.array(points[i]) - centroids[q]) @ (np.array(points[i]) - centroids[q]) for i in to for q in range(3)) / 3
     assert partitioners.fit_centroids(rows.limit(0), 3) == []
+
+
+def test_time_bounds_are_pushed_to_the_scan(spark):
+    """What no query can see is filtered by the Parquet reader."""
+    scratch = Scratch(spark, "pushed")
+    rows = scratch.keep(spark.createDataFrame([(i, [float(i)], i * 10) for i in range(50)], "id long, v array<double>, event_time long"), "rows")
+    q = spark.createDataFrame([(1, [3.0], 200, 50), (2, [9.0], 300, 120)], "query_id long, v array<double>, event_time long, ttl long")
+    found = knn.nearest(rows, q, 3, time_filter="ge")
+    plan = found._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(event_time,150)" in plan and "LessThanOrEqual(event_time,300)" in plan
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(1, 15), (1, 16), (1, 17), (2, 18), (2, 19), (2, 20)}
+    first = knn.nearest(rows, q, 50, time_filter="ge", scope="batch_ttl").where("query_id = 2").select("id").collect()
+    assert sorted(r["id"] for r in first) == list(range(25, 31))
+
+
+def test_an_index_without_deletions_refuses_them(spark):
+    log = spark.createDataFrame([("I", 1), ("I", 2)], "op string, id long")
+    assert changelog.without_deletes(log).count() == 2
+    with pytest.raises(Exception, match="takes no deletions"):
+        changelog.without_deletes(log.unionByName(spark.createDataFrame([("D", 1)], "op string, id long"))).collect()

@@ -93,6 +93,16 @@ def knn_cosine(spark, sf):
     return _rounded(knn.nearest(vectors(spark, sf), asked(spark, sf), K, "cosine"))
 
 
+_COARSE = "list_transform({}, lambda x: floor(x::DOUBLE * 5))"
+
+
+@query(f"WITH {ASKED} " + _top(f"SELECT q.query_id, e.vec_id id, {_dist(_COARSE.format('q.v'), _COARSE.format('e.embedding'))} dist FROM q, embeddings e"))
+def knn_ties(spark, sf):
+    """Vectors of small whole numbers, so that many rows are at one distance: ties go by id."""
+    coarse = lambda df: df.withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * 5).cast("double")))
+    return _rounded(knn.nearest(coarse(vectors(spark, sf)), coarse(asked(spark, sf)), K))
+
+
 @query(_knn_sql(where="e.label = 3"))
 def knn_filter_label(spark, sf):
     return _rounded(knn.nearest(vectors(spark, sf).where("label = 3"), asked(spark, sf), K))
