@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 1 << 18
+#: Characters of a text hashed at once, and of many short ones together.
+SEGMENT, PIECE = 1 << 18, 1 << 15
 LANG_ORDERS, LANG_BITS, MOST_LANGS = (1, 2, 3), 16, 1024
 TOXIC_ORDERS, TOXIC_BITS = (2, 3, 4, 5), 20
 #: Bounds of the sample that the toxicity fit takes: labelled rows, and characters of their texts.
@@ -67,9 +68,12 @@ def _batches(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Recor
 # Language ID
 
 
-def _sparse(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of every n-gram of many texts, in pieces of bounded size: short texts are hashed together."""
-    row, codes, room = [], [], SEGMENT
+def _sparse(texts: list[str], orders: tuple[int, ...], bits: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every n-gram of many texts, in pieces of bounded size: short texts are hashed together.
+
+    Rows of one text stand together in a piece.
+    """
+    row, codes, room = [], [], piece
 
     def hashed():
         flat, owner = np.concatenate(codes), np.repeat(row, [len(c) for c in codes])
@@ -87,7 +91,7 @@ def _sparse(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[tu
         c = _codes(text.lower())
         if len(c) > room and codes:
             yield from hashed()
-            row, codes, room = [], [], SEGMENT
+            row, codes, room = [], [], piece
         row.append(i)
         codes.append(c)
         room -= len(c)
@@ -108,7 +112,7 @@ def language_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "la
             for k, texts in by.items():
                 seen[k] = seen.get(k, 0) + len(texts)
                 into = total.setdefault(k, np.zeros(1 << LANG_BITS, np.int64))
-                for _, b in _sparse(texts, LANG_ORDERS, LANG_BITS):
+                for _, b in _sparse(texts, LANG_ORDERS, LANG_BITS, SEGMENT):
                     into += np.bincount(b, minlength=1 << LANG_BITS)
         for k, into in total.items():
             at = np.flatnonzero(into)
@@ -154,12 +158,8 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
             known = [bool(langs) and x is not None and any(map(str.isalpha, x)) for x in texts]
             sums = np.tile(prior, (len(texts), 1))
             for row, b in _sparse([x if k else "" for x, k in zip(texts, known)], LANG_ORDERS, bits):
-                if len(langs) <= 8:
-                    for k in range(len(langs)):
-                        sums[:, k] += np.bincount(row, weights=table[b, k], minlength=len(texts))
-                    continue
-                step = max(1, (1 << 22) // len(langs))
-                for a in range(0, len(b), step):  # rows of one text stand together
+                step = max(1, (1 << 22) // max(1, len(langs)))
+                for a in range(0, len(b), step):
                     r = row[a : a + step]
                     first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                     sums[r[first]] += np.add.reduceat(table.take(b[a : a + step], axis=0), first, axis=0, dtype=np.float64)
