@@ -295,3 +295,25 @@ def test_an_index_without_deletions_refuses_them(spark):
     assert changelog.without_deletes(log).count() == 2
     with pytest.raises(Exception, match="takes no deletions"):
         changelog.without_deletes(log.unionByName(spark.createDataFrame([("D", 1)], "op string, id long"))).collect()
+
+
+def test_index_exact_search_finds_what_walks_miss(spark):
+    """More vectors than a beam holds, in norms that cosines do not tell apart, most of them twice: the k first by distance and id."""
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(600, 24)), 2, axis=0) * r.choice([1.0, 1.5], size=1200)[:, None]
+    x[1::2][:500] = x[::2][:500]
+    path = f"{Scratch(spark, 'index').dir}/v"
+    vector_index.create(spark, path, shards=2, width=16)
+    rows = [("I", i, x[i].tolist(), 1, i) for i in range(1200)]
+    for part in (rows[:900], rows[900:], [("D", i, None, 2, 1500) for i in range(0, 1200, 9)]):
+        vector_index.upsert(spark, path, spark.createDataFrame(part, "op string, id long, v array<double>, version long, event_time long"))
+    times = [(5000, 9000), (1400, 1400), (700, 40), (1100, 300)]
+    asked = [(n, x[(n * 37) % 1200].tolist(), *times[n % 4]) for n in range(40)]
+    found = vector_index.search(spark, path, spark.createDataFrame(asked, "query_id long, v array<double>, event_time long, ttl long"), 7, exact=True)
+    got = {}
+    for row in found.orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append(row["id"])
+    for n, v, t, ttl in asked:
+        seen = [i for i in range(1200) if max(0, t - ttl) <= i <= t and (i % 9 or t < 1500)]
+        dist = {i: vector_index.exactly("l2", np.array([v]), x[[i]])[0] for i in seen}
+        assert got.get(n, []) == sorted(seen, key=lambda i: (dist[i], i))[:7], n

@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.distance import l2_squared
+from tidewater.functions.distance import exact as exactly
+from tidewater.functions.distance import kernel, slack
 from tidewater.operators.changelog import latest
-from tidewater.operators.graph_index import Graph
+from tidewater.operators.graph_index import WHOLE, Graph
+from tidewater.operators.knn import FOREVER, PAIRS, _first
 
-FOREVER = 2**62
+MASK = 1 << 21  # visible nodes of so many pairs are told at once
 _SEGMENT = "segment int, shard int, n long, low long, high long, ids binary, versions binary, times binary, x binary, level binary, near array<binary>, dead binary"
 DEFAULTS = {"shards": 4, "width": 64, "dim": None}
 
@@ -127,20 +129,22 @@ def _timeline(parts: list[dict]) -> list[np.ndarray]:
     return out
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, width: int | None = None, strict: bool = False) -> DataFrame:
-    """(query_id, rank, id, dist, segment): the k nearest by cosine that graph walks find, dist squared L2, computed exactly.
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, width: int | None = None, strict: bool = False, exact: bool = False) -> DataFrame:
+    """(query_id, rank, id, dist, segment): the k nearest by squared L2 of what graph walks meet, ties by id.
 
     queries(query_id, v[, event_time, ttl]): a vector is seen from its event time until a newer version's,
     if its time is at (`strict`: over) the query's time less ttl or later; without times, the newest
-    versions are searched. Walks pass through vectors that a query may not see but do not return them;
-    a beam with fewer than k visible vectors is widened until it has them or is the whole graph.
+    versions are searched. Walks go by cosine and pass through vectors that a query may not see but do not
+    return them; a beam with fewer than k visible vectors is widened. Where a query sees less than half of a
+    graph and no more than a walk would meet (WHOLE for each place of the beam), all that it sees is compared.
+    `exact`: after the walks, whatever may be nearer than the k-th vector met is compared too.
     """
     how, stored = options(spark, path), _stored(spark, path)
     width = width or how["width"]
     timed = "event_time" in queries.columns
     at, ttl = (F.col("event_time"), F.col("ttl")) if timed else (F.lit(FOREVER - 1), F.lit(FOREVER))
     asked = queries.where(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0)).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("v").cast("array<double>").alias("qv"), at.cast("bigint").alias("at"), F.greatest(F.lit(0), at - ttl).cast("bigint").alias("bound"))
-    result = "query_id long, id long, v array<double>, qv array<double>, segment int"
+    result = "query_id long, id long, dist double, segment int"
     if stored is None:
         near = spark.createDataFrame([], result)
     else:
@@ -151,51 +155,89 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, width:
         sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(how["shards"] - 1))))
 
         def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = []
             parts = left.sort_values("segment").to_dict("records")
+            found = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.int64))]
+            right = right.sort_values("at")  # queries that see the same vectors come together
             if len(right) and parts:
-                q = np.stack(right["qv"].to_numpy()).astype(np.float64)
-                unit, now, low = _unit(q), right["at"].to_numpy(), right["bound"].to_numpy()
+                q, now, low = np.stack(right["qv"].to_numpy()).astype(np.float64), right["at"].to_numpy(), right["bound"].to_numpy()
                 for p, hidden in zip(parts, _timeline(parts)):
                     if not p["n"]:
                         continue
                     x, times, ids = _numbers(p["x"], np.float64).reshape(p["n"], -1), _numbers(p["times"]), _numbers(p["ids"])
-                    g = Graph.restored(_unit(x), _numbers(p["level"]), list(p["near"]))
-                    for r, c in _walked(g, unit, k, width, lambda i: (times <= now[i]) & (now[i] < hidden) & ((times > low[i]) if strict else (times >= low[i]))):
-                        out.append(pd.DataFrame({"query_id": right["query_id"].to_numpy()[r], "id": ids[c], "v": list(x[c]), "qv": list(np.broadcast_to(q[r], (len(c), q.shape[1]))), "segment": p["segment"]}))
-            return pd.concat(out) if out else pd.DataFrame([], columns=["query_id", "id", "v", "qv", "segment"], dtype=object)
 
-        near = stored.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(walk, result)
-    dist = near.select("query_id", "id", "segment", l2_squared(F.col("qv"), F.col("v")).alias("dist"))
-    return dist.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist", "segment")
+                    def visible(some: np.ndarray) -> np.ndarray:
+                        to, since = now[some, None], low[some, None]
+                        return (times <= to) & (to < hidden) & ((times > since) if strict else (times >= since))
 
+                    g = Graph.restored(_unit(x), _numbers(p["level"]), list(p["near"]))
+                    for r, c, d in _walked(g, x, ids, q, k, width, visible, exact):
+                        found.append((r, ids[c], d, np.full(len(r), p["segment"])))
+            r, i, d, s = (np.concatenate(z) for z in zip(*found))
+            top = _first(r, d, i, k)
+            return pd.DataFrame({"query_id": right["query_id"].to_numpy()[r[top]] if len(top) else r, "id": i[top], "dist": d[top], "segment": s[top]})
 
-def _walked(g: Graph, q: np.ndarray, k: int, width: int, visible):
-    """(query, nodes): the k nearest visible nodes of each query; visible(i) is a mask of all nodes."""
-    n = len(g.x)
-    todo, width = np.arange(len(q)), max(k, width)
+        near = stored.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(walk, result)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist", "segment")
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, squared L2): the k first of each query among the candidates (r, c), by distance and id."""
+    out = []
+    for a in range(0, len(r), PAIRS):
+        rr, cc = r[a : a + PAIRS], c[a : a + PAIRS]
+        d = np.concatenate([exactly("l2", q[y], x[z]) for y, z in zip(np.array_split(rr, 8), np.array_split(cc, 8))])
+        top = _first(rr, d, ids[cc], k)
+        out.append((rr[top], cc[top], d[top]))
+    if not out:
+        return r, c, np.empty(0)
+    rr, cc, d = (np.concatenate(z) for z in zip(*out))
+    top = _first(rr, d, ids[cc], k)
+    return rr[top], cc[top], d[top]
+
+
+def _walked(g: Graph, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, width: int, visible, whole: bool):
+    """(query, node, squared L2) of the k nearest visible nodes met; visible(queries) is a mask of all nodes for each. `whole`: of all."""
+    n, unit = len(x), _unit(q)
+    todo, width, step = np.arange(len(q)), max(k, width), max(1, min(128, MASK // len(x)))
     while len(todo):
-        width = min(width, n)
         again = []
-        for a in range(0, len(todo), 128):
-            some = todo[a : a + 128]
-            ids, score = g.beam(q[some], g._enter(q[some], 0, n), 0, width, n)
-            for i, nodes, s in zip(some, ids, score):
-                mask = visible(i)
-                good = nodes[(nodes >= 0) & mask[np.maximum(nodes, 0)]]
-                if len(good) < k and width < n and len(good) < mask.sum():
-                    again.append(i)
+        width = min(width, n)
+        for a in range(0, len(todo), step):
+            some = todo[a : a + step]
+            seen = visible(some)
+            number = seen.sum(axis=1)
+            few = (number > 0) & (((number <= WHOLE * width) & (2 * number <= n)) | (width == n))
+            for part, bound in ((np.flatnonzero(few), None), (np.flatnonzero((number > 0) & ~few), True)):
+                if not len(part):
                     continue
-                if width == n:  # walks may not reach every node: the whole graph is compared
-                    good = np.flatnonzero(mask)
-                best = g.x[good] @ q[i]
-                yield int(i), good[np.lexsort((good, -best))[:k]]
-        todo, width = np.array(again, dtype=np.int64), width * 2
+                if bound:
+                    nodes, _ = g.beam(unit[some[part]], g._enter(unit[some[part]], 0, n), 0, width, n)
+                    good = (nodes >= 0) & np.take_along_axis(seen[part], np.maximum(nodes, 0), axis=1)
+                    full = good.sum(axis=1) >= k
+                    again.append(some[part[~full]])
+                    part, nodes, good = part[full], nodes[full], good[full]
+                    r, c = np.nonzero(good)
+                    r, c, d = _nearest(x, ids, q, some[part][r], nodes[r, c], k)
+                    if not whole:
+                        yield r, c, d
+                        continue
+                    bound = d[np.flatnonzero(np.append(r[1:] != r[:-1], True))] if len(r) else d  # the k-th of each
+                    if not len(part):
+                        continue
+                columns = np.flatnonzero(seen[part].any(axis=0))
+                y, mask = x[columns], seen[np.ix_(part, columns)]
+                d = np.where(mask, kernel("l2", q[some[part]], y), np.inf)
+                if bound is None:
+                    bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                r, c = np.nonzero((d <= (bound + slack("l2", q[some[part]], y))[:, None]) & mask)
+                yield _nearest(x, ids, q, some[part][r], columns[c], k)
+        todo, width = np.concatenate(again) if again else todo[:0], width * 2
 
 
 def feedback(results: DataFrame) -> DataFrame:
-    """(query_id, segment, n, total): how many results each segment gave, and the sum of their distances."""
-    return results.groupBy("query_id", "segment").agg(F.count("*").alias("n"), F.sum("dist").alias("total"))
+    """(query_id, segment, n, total): how many results each segment gave, and the sum of their distances, in order of rank."""
+    each = F.array_sort(F.collect_list(F.struct("rank", "dist")))  # k of a query at most
+    return results.groupBy("query_id", "segment").agg(F.count("*").alias("n"), F.aggregate(each, F.lit(0.0), lambda s, x: s + x["dist"]).alias("total"))
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
