@@ -317,3 +317,14 @@ def test_index_exact_search_finds_what_walks_miss(spark):
         seen = [i for i in range(1200) if max(0, t - ttl) <= i <= t and (i % 9 or t < 1500)]
         dist = {i: vector_index.exactly("l2", np.array([v]), x[[i]])[0] for i in seen}
         assert got.get(n, []) == sorted(seen, key=lambda i: (dist[i], i))[:7], n
+
+
+def test_index_search_of_few_visible_vectors_takes_no_wide_walk(spark, monkeypatch):
+    """Where a query sees a small part of a graph, what it sees is compared: no walk widens up to the whole graph."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 8))
+    g = Graph(vector_index._unit(x), np.arange(3000))
+    x, ids, widths = x[g.order], np.arange(3000)[g.order], []
+    monkeypatch.setattr(g, "beam", lambda q, start, layer, width, limit, f=g.beam: (widths.append(width), f(q, start, layer, width, limit))[1])
+    found = list(vector_index._walked(g, x, ids, x[:20], 5, 16, lambda some: np.broadcast_to(ids % 600 == 0, (len(some), 3000)), False))
+    assert sum(len(rows) for rows, *_ in found) == 100 and not widths
