@@ -392,3 +392,22 @@ def test_toxicity(spark):
     assert np.mean(right) > 0.95 and all(0 <= s <= 1 for s in got.values()) and got[0] == got[1] and got[3] == got[4]
     empty = ngram_models.train_toxicity(docs, labels.limit(0))
     assert {round(x["score"], 6) for x in ngram_models.score_toxicity(docs, empty).collect()} == {0.5}
+
+
+def test_hnsw_graphs_are_not_shuffled_to_the_vectors(spark, monkeypatch):
+    """Graphs come to the vectors a bin at a time, with no exchange; links are taken a slice of queries at a time."""
+    plans, keep = [], hnsw.Scratch.keep
+    monkeypatch.setattr(hnsw.Scratch, "keep", lambda self, df, name, *a, **b: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(self, df, name, *a, **b))[1])
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 8))
+    x[100:200] = x[0] + r.normal(size=(100, 8)) * 0.25
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, [1.0, 2.0]), (301, [2.0, 4.0])], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, hnsw.link(rows).collect()))
+    assert whole[-1] == (301, 1, 300) and not any("Exchange" in p for name, p in plans if name.startswith("found"))
+    monkeypatch.setattr(hnsw, "BIN", 1)
+    assert sorted(map(tuple, hnsw.link(rows).collect())) == whole
+    assert sum(name.startswith("found") for name, _ in plans) > 1 + 4
+    monkeypatch.setattr(hnsw, "SLICE", 7)
+    u = hnsw._unit(x)
+    g = hnsw.Graph(u, np.arange(300))
+    assert all(q.max(initial=0) - q.min(initial=300) < 7 for q, _ in hnsw._links(g, u, 0.9, 300))

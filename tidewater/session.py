@@ -55,9 +55,9 @@ class Scratch:
         self.spark = prepare(spark)
         self.dir = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, form: str = "parquet") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, form: str = "parquet", **options) -> DataFrame:
         path = f"{self.dir}/{name}"
-        df.write.mode("overwrite").format(form).save(path)
+        df.write.mode("overwrite").format(form).options(**options).save(path)
         return self.spark.read.schema(df.schema).format(form).load(path)
 
     def _fs(self, path: str):
