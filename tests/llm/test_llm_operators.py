@@ -411,3 +411,20 @@ def test_hnsw_graphs_are_not_shuffled_to_the_vectors(spark, monkeypatch):
     u = hnsw._unit(x)
     g = hnsw.Graph(u, np.arange(300))
     assert all(q.max(initial=0) - q.min(initial=300) < 7 for q, _ in hnsw._links(g, u, 0.9, 300))
+
+
+def test_jaccard_lists_are_made_in_passes(spark, monkeypatch):
+    """The entries of all lists are never shuffled at once; any number of passes over the keys gives the same classes."""
+    r, kept, keep = random.Random(4), [], jaccard.Scratch.keep
+    monkeypatch.setattr(jaccard.Scratch, "keep", lambda self, df, name, *a, **b: (kept.append(name), keep(self, df, name, *a, **b))[1])
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) for _ in range(60)]
+    texts += [t + " end" for t in texts] + [t.replace("w7", "w8") for t in texts] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "PASSES", 1, raising=False)
+    once = sorted(map(tuple, jaccard.join(docs, 4, 85, 100).collect()))
+    monkeypatch.setattr(jaccard, "PASSES", 3)
+    monkeypatch.setattr(jaccard, "PASS", 10, raising=False)
+    assert sorted(map(tuple, jaccard.join(docs, 4, 85, 100).collect())) == once
+    assert [k for k in kept if k.startswith("shared")] == ["shared/0", "shared/0", "shared/1", "shared/2"]
+    assert len({c for _, _, c in once}) < 182 - 40
