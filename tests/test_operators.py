@@ -1,5 +1,6 @@
 """Operators against plain Python models."""
 
+import math
 import random
 import time
 
@@ -328,3 +329,29 @@ def test_index_search_of_few_visible_vectors_takes_no_wide_walk(spark, monkeypat
     monkeypatch.setattr(g, "beam", lambda q, start, layer, width, limit, f=g.beam: (widths.append(width), f(q, start, layer, width, limit))[1])
     found = list(vector_index._walked(g, x, ids, x[:20], 5, 16, lambda some: np.broadcast_to(ids % 600 == 0, (len(some), 3000)), False))
     assert sum(len(rows) for rows, *_ in found) == 100 and not widths
+
+
+def test_all_pairs_without_a_join(spark):
+    """Distances of all queries with all rows are made where the rows are; odd vectors give nulls."""
+    r = np.random.default_rng(2)
+    x = [v.tolist() for v in r.normal(size=(40, 5))] + [None, [0.0] * 5, [1.0, None, 1.0, 1.0, 1.0], [1.0, 2.0], [], [float("nan")] * 5, [0.5] * 5]
+    rows = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>").repartition(3)
+    found = knn.all_pairs(rows, rows.where("id % 2 = 0").select(F.col("id").alias("query_id"), "v"), 9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Cartesian" not in plan and "Exchange RoundRobin" in plan
+    got = {(g["query_id"], g["id"]): g for g in found.collect()}
+    assert len(got) == 24 * 47
+    for (a, b), g in got.items():
+        u, v = x[a], x[b]
+        if u is None or v is None or len(u) != len(v) or None in u or None in v:
+            assert [*g][2:] == [None] * 5
+            continue
+        l2, dot = float(knn.exact("l2", np.array([u]), np.array([v]))[0]), 1 - float(knn.exact("ip", np.array([u]), np.array([v]))[0])
+        if math.isnan(dot):
+            assert math.isnan(g["l2"]) and math.isnan(g["cosine"]) and g["l2_int"] is None
+            continue
+        assert abs(g["l2"] - l2) <= 6e-10 and abs(g["dot"] - dot) <= 6e-10 and abs(g["ip"] - 1 + dot) <= 6e-10
+        assert g["l2_int"] == sum((math.floor(p * 100) - math.floor(q * 100)) ** 2 for p, q in zip(u, v))
+        norm = math.sqrt(sum(p * p for p in u) * sum(q * q for q in v))
+        assert g["cosine"] is None if norm == 0 else abs(g["cosine"] - 1 + dot / norm) <= 6e-10
+    assert knn._half_up(np.array([0.5, -0.5, 1.5, 2.4]), 0).tolist() == [1.0, -1.0, 2.0, 2.0]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.distance import distance, exact, kernel, slack
 
-QUERY_BLOCK, PAIRS, FOREVER = 8192, 1 << 18, 2**62
+QUERY_BLOCK, PAIRS, TASK_PAIRS, FOREVER = 8192, 1 << 18, 1 << 23, 2**62
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +148,91 @@ def _block(rows: DataFrame, part: DataFrame, k: int, metric: str, time_filter: s
     return near.join(F.broadcast(named), "at").select("query_id", "id", distance(metric, F.col("qv"), F.col("v")).alias("dist"))
 
 
+def all_pairs(rows: DataFrame, queries: DataFrame, digits: int, scale: int = 100) -> DataFrame:
+    """(query_id, id, l2, ip, cosine, dot, l2_int) of all queries(query_id, v) with all rows(id, v), rounded to `digits`.
+
+    A block of QUERY_BLOCK queries is broadcast at a time; rows are dealt to tasks of TASK_PAIRS pairs or so,
+    come past the block and leave in batches of PAIRS or less. Components are added up in the order of the column expressions, and a half is
+    rounded away from zero. l2_int compares the whole parts of `scale` times each component. Null where a vector or a
+    component is, and where lengths differ; the cosine also where a vector is zero, l2_int where a component is not finite.
+    """
+    types = dict(rows.dtypes) | dict(queries.dtypes)
+    schema = f"query_id {types['query_id']}, id {types['id']}, l2 double, ip double, cosine double, dot double, l2_int bigint"
+    as_double = F.col("v").cast("array<double>").alias("v")
+    rows, queries = rows.select("id", as_double), queries.select("query_id", as_double)
+    n = queries.count()
+    blocks, tasks = max(1, -(-n // QUERY_BLOCK)), -(-n * rows.count() // TASK_PAIRS)
+    rows = rows.repartition(tasks, "id") if tasks > 1 else rows
+    out = None
+    for b in range(blocks):
+        part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+        shared = rows.sparkSession.sparkContext.broadcast((part.column("query_id").combine_chunks(), _by_length(part.column("v").combine_chunks())))
+        one = rows.mapInArrow(_pairs(shared, digits, scale), schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _by_length(v: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of the vectors that hold no null, and their matrix."""
+    lengths = np.array([len(x.values) if x.is_valid and not x.values.null_count else -1 for x in v], np.int64)
+    return {int(n): (at := np.flatnonzero(lengths == n), np.stack([np.asarray(v[int(i)].values, np.float64) for i in at])) for n in np.unique(lengths[lengths >= 0])}
+
+
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded to so many digits, a half away from zero."""
+    y = x * 10.0**digits
+    whole = np.trunc(y)
+    y = np.where(np.abs(y - whole) == 0.5, whole + np.sign(y), np.rint(y)) / 10.0**digits
+    return np.where(np.isfinite(y), y, x)
+
+
+def _pairs(shared, digits: int, scale: int):
+    def metrics(q: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+        """Of all queries with all rows, a row's queries together."""
+        shape = (len(r), len(q))
+        l2, dot, whole = np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64)
+        qi, ri = (np.floor(np.nan_to_num(x, posinf=0.0, neginf=0.0) * scale).astype(np.int64) for x in (q, r))
+        qq, rr = np.zeros(len(q)), np.zeros(len(r))
+        for k in range(q.shape[1]):
+            a, b = q[:, k], r[:, k]
+            d = a[None, :] - b[:, None]
+            l2 += d * d
+            dot += a[None, :] * b[:, None]
+            qq += a * a
+            rr += b * b
+        for k in range(q.shape[1]):
+            d = qi[:, k][None, :] - ri[:, k][:, None]
+            whole += d * d
+        norm = np.sqrt(qq[None, :] * rr[:, None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = 1.0 - dot / norm
+        return [l2, 1.0 - dot, np.where(norm == 0, np.nan, cosine), dot, whole, norm == 0, ~(np.isfinite(q).all(axis=1)[None, :] & np.isfinite(r).all(axis=1)[:, None])]
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = shared.value
+        step = max(1, PAIRS // 4 // max(1, len(names)))  # so many rows at once: their pairs stay in the cache
+        for batch in it:
+            for i in range(0, batch.num_rows if len(names) else 0, step):
+                some = batch.slice(i, step)
+                n = some.num_rows
+                values = [np.full((n, len(names)), 0.0) for _ in range(4)] + [np.zeros((n, len(names)), np.int64)]
+                known, zero, odd = (np.zeros((n, len(names)), dtype=bool) for _ in range(3))
+                for length, (at, r) in _by_length(some.column(1)).items():
+                    if length in queries:
+                        where, q = queries[length]
+                        cells = np.ix_(at, where)
+                        *found, zero[cells], odd[cells] = metrics(q, r)
+                        for x, y in zip(values, found):
+                            x[cells] = y
+                        known[cells] = True
+                masks = [~known, ~known, ~known | zero, ~known, ~known | odd]
+                columns = [pa.array(_half_up(x.ravel(), digits) if k < 4 else x.ravel(), mask=masks[k].ravel()) for k, x in enumerate(values)]
+                every = np.arange(n * len(names))
+                yield pa.record_batch([names.take(pa.array(every % len(names))), some.column(0).take(pa.array(every // len(names))), *columns], ["query_id", "id", "l2", "ip", "cosine", "dot", "l2_int"])
+
+    return search
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, n_found, n_hit, recall) of (query_id, id) rows; the denominator is what was found."""
     hit = truth.select("query_id", "id", F.lit(1).alias("hit")).distinct()

@@ -120,12 +120,7 @@ def knn_memonly(spark, sf):
 def distance_pairs(spark, sf):
     """All metrics of the stated queries against all rows (a stated query set: a twentieth of the ids)."""
     v = vectors(spark, sf)
-    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("x"))
-    p = v.select("id", F.col("v").alias("y")).join(q)
-    x, y = F.col("x"), F.col("y")
-    whole = lambda c: F.transform(c, lambda e: F.floor(e.cast("double") * 100))
-    r = lambda c: F.round(c, 9)
-    return p.select("query_id", "id", r(distance.l2_squared(x, y)).alias("l2"), r(distance.inner_product(x, y)).alias("ip"), r(distance.cosine(x, y)).alias("cosine"), r(distance.dot(x, y)).alias("dot"), distance.l2_int(whole(x), whole(y)).alias("l2_int"))
+    return knn.all_pairs(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "v"), 9)
 
 
 @query("SELECT min(list_min(embedding))::DOUBLE low, max(list_max(embedding))::DOUBLE high, max(list_max(embedding))::DOUBLE - min(list_min(embedding))::DOUBLE span, (max(list_max(embedding))::DOUBLE - min(list_min(embedding))::DOUBLE) * 8 / 200 width FROM embeddings")
