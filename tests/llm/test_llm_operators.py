@@ -428,3 +428,14 @@ def test_jaccard_lists_are_made_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(docs, 4, 85, 100).collect())) == once
     assert [k for k in kept if k.startswith("shared")] == ["shared/0", "shared/0", "shared/1", "shared/2"]
     assert len({c for _, _, c in once}) < 182 - 40
+
+
+def test_pipeline_frees_each_stage(spark, monkeypatch):
+    """Shuffle files of a stage are released before the next stage begins."""
+    import corpus_pipeline
+
+    log, release = [], corpus_pipeline.Scratch.release
+    monkeypatch.setattr(corpus_pipeline.Scratch, "release", lambda self: (log.append("free"), release(self))[1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, docs, d, n=n: (log.append(n), docs.limit(5))[1]) for n in ("one", "two")])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == 5
+    assert log == ["one", "free", "two", "free"]
