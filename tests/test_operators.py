@@ -355,3 +355,23 @@ def test_all_pairs_without_a_join(spark):
         norm = math.sqrt(sum(p * p for p in u) * sum(q * q for q in v))
         assert g["cosine"] is None if norm == 0 else abs(g["cosine"] - 1 + dot / norm) <= 6e-10
     assert knn._half_up(np.array([0.5, -0.5, 1.5, 2.4]), 0).tolist() == [1.0, -1.0, 2.0, 2.0]
+
+
+def test_release_gives_back_what_the_jvm_freed_outside_its_heap(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.io.File("/proc/self").getCanonicalFile().getName()
+
+    def resident():
+        with open(f"/proc/{pid}/status") as f:
+            return next(int(x.split()[1]) // 1024 for x in f if x.startswith("VmRSS"))
+
+    scratch = Scratch(spark, "release")
+    scratch.release()
+    held = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # about 0.1 MB each, outside the heap
+    for x in held[:-1]:
+        x.end()
+    jvm.System.gc()
+    before = resident()
+    scratch.release()
+    held[-1].end()
+    assert before - resident() > 40
