@@ -375,3 +375,33 @@ def test_release_gives_back_what_the_jvm_freed_outside_its_heap(spark):
     scratch.release()
     held[-1].end()
     assert before - resident() > 40
+
+
+def test_each_shard_of_an_index_is_a_task_of_its_own(spark):
+    path = f"{Scratch(spark, 'index').dir}/v"
+    vector_index.create(spark, path, shards=16)
+    x = np.random.default_rng(6).standard_normal((400, 4))
+    vector_index.upsert(spark, path, spark.createDataFrame([("I", i, v.tolist(), 0, 0) for i, v in enumerate(x)], "op string, id long, v array<double>, version long, event_time long"))
+    files = vector_index._stored(spark, path).select("shard", F.input_file_name().alias("file")).collect()
+    assert len({r["file"] for r in files}) == len({r["shard"] for r in files}) == 16
+    found = vector_index.search(spark, path, spark.createDataFrame([(0, x[7].tolist())], "query_id long, v array<double>"), 400, width=400)
+    assert sorted(r["id"] for r in found.collect()) == list(range(400))
+
+
+def test_a_graph_compares_new_nodes_with_all_while_it_is_small(monkeypatch):
+    x = np.random.default_rng(8).standard_normal((6000, 16)).astype(np.float32)
+    x[100:300] = x[0]  # equal scores
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph(x, np.arange(6000))
+    for limit in (1, 40, 64, 65, 2079, 2080, 6000):
+        ids, score = g._compared(g.x[:50], limit)
+        every = g.x[:50] @ g.x[:limit].T
+        assert (np.sort(score, axis=1) == np.sort(every, axis=1)[:, -64:]).all()
+        assert (np.take_along_axis(every, ids, axis=1) == score).all() and all(len(set(r)) == min(64, limit) for r in ids.tolist())
+    recall = []
+    for most in (1 << 15, 2000):  # then walks find the candidates
+        monkeypatch.setattr("tidewater.operators.graph_index.COMPARED", most)
+        g = Graph(x, np.arange(6000))
+        score = g.nearest(g.x[300::20], 10, 128)[1]
+        recall.append((score >= np.sort(g.x[300::20] @ g.x.T, axis=1)[:, -10:-9] - 1e-6).mean())
+    assert min(recall) >= 0.95, recall

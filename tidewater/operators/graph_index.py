@@ -7,6 +7,8 @@ import math
 import numpy as np
 
 M, WIDTH_BUILD, STEP, WHOLE = 16, 64, 192, 64
+#: While a graph has no more nodes, comparing a new node with all of them takes less time than a walk.
+COMPARED = 1 << 15
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
@@ -96,6 +98,24 @@ class Graph:
             at = ids[:, 0]
         return at
 
+    def _compared(self, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: none) and scores of the WIDTH_BUILD nearest of the first `limit` nodes, all of them compared."""
+        s = q @ self.x[:limit].T
+        blocks = limit // 32
+        if blocks <= WIDTH_BUILD:
+            ids, score = np.broadcast_to(np.arange(limit), s.shape), s
+        else:  # so many blocks have a node of this score or more, so the nearest have it too
+            best = s[:, : blocks * 32].reshape(len(q), blocks, 32).max(axis=2)
+            r, c = np.nonzero(s >= np.partition(best, blocks - WIDTH_BUILD, axis=1)[:, blocks - WIDTH_BUILD, None])
+            n = np.bincount(r, minlength=len(q))
+            at = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            ids, score = np.full((len(q), n.max()), -1, np.int64), np.full((len(q), n.max()), -np.inf, np.float32)
+            ids[r, at], score[r, at] = c, s[r, c]
+        if ids.shape[1] <= WIDTH_BUILD:
+            return ids, score
+        top = np.argpartition(-score, WIDTH_BUILD - 1, axis=1)[:, :WIDTH_BUILD]
+        return np.take_along_axis(ids, top, axis=1), np.take_along_axis(score, top, axis=1)
+
     def _select(self, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
         """The heuristic: take a candidate only if it is nearer to the base than to all taken; then fill up."""
         by = np.argsort(-score, kind="stable")
@@ -126,20 +146,27 @@ class Graph:
         for k in range(len(self.size) - 1, -1, -1):
             limit = min(at, self.size[k])
             mine = int((self.level[at:to] >= k).sum())
-            if mine < len(q):
+            if at > COMPARED and mine < len(q):
                 ids, _ = self.beam(q[mine:], start[mine:], k, 1, limit)
                 start[mine:] = ids[:, 0]
             if not mine:
                 continue
-            ids, score = self.beam(q[:mine], start[:mine], k, WIDTH_BUILD, limit)
-            start[:mine] = ids[np.arange(mine), score.argmax(axis=1)]
+            if at > COMPARED:
+                ids, score = self.beam(q[:mine], start[:mine], k, WIDTH_BUILD, limit)
+                start[:mine] = ids[np.arange(mine), score.argmax(axis=1)]
+            else:
+                ids, score = self._compared(q[:mine], limit)
             for i in range(mine):
                 some = ids[i] >= 0
                 peers = np.argsort(-inner[i, :mine])[:M] if mine > 1 else np.empty(0, np.int64)
                 peers = peers[inner[i, peers] > -np.inf]
                 near = self._select(np.concatenate([score[i][some], inner[i, peers]]), np.concatenate([ids[i][some], peers + at]), M)
                 self._join(k, at + i, near)
-                for p in near:
+                n = self.count[k][near]
+                free = (near < at) & (n < self.near[k].shape[1])  # of another batch, so the link is new, and there is room
+                self.near[k][near[free], n[free]] = at + i
+                self.count[k][near[free]] += 1
+                for p in near[~free]:
                     self._join(k, int(p), np.array([at + i]))
 
     def _join(self, k: int, node: int, more: np.ndarray) -> None:

@@ -94,7 +94,7 @@ def _write(rows: DataFrame, segment: int, shards: int, path: str) -> None:
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     usable = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0)
     each = rows.where((F.col("op") == "D") | usable).select(shard, "op", F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("version").cast("bigint").alias("version"), F.col("event_time").cast("bigint").alias("event_time"))
-    each.groupBy("shard").applyInPandas(build, _SEGMENT).write.mode("append").parquet(f"{path}/segments")
+    each.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(build, _SEGMENT).write.mode("append").parquet(f"{path}/segments")
 
 
 def upsert(spark: SparkSession, path: str, mutations: DataFrame) -> None:
@@ -176,6 +176,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, width:
             top = _first(r, d, i, k)
             return pd.DataFrame({"query_id": right["query_id"].to_numpy()[r[top]] if len(top) else r, "id": i[top], "dist": d[top], "segment": s[top]})
 
+        stored, sent = (x.repartitionById(how["shards"], F.col("shard")) for x in (stored, sent))
         near = stored.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(walk, result)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist", "segment")
 
