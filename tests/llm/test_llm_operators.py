@@ -439,3 +439,10 @@ def test_pipeline_frees_each_stage(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, docs, d, n=n: (log.append(n), docs.limit(5))[1]) for n in ("one", "two")])
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == 5
     assert log == ["one", "free", "two", "free"]
+
+
+def test_packing_starts_no_second_kind_of_worker(spark):
+    """The plan's ranges come as Arrow: rows of Python objects would be read by Python workers with a daemon of their own."""
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(20)], "doc_id long, text string")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 20

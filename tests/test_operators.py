@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import session
 from tidewater.operators import ann, changelog, knn, kv, merge_operators, partitioners, trace, vector_index
 from tidewater.operators.graph_index import Graph
 from tidewater.session import Scratch
@@ -405,3 +406,29 @@ def test_a_graph_compares_new_nodes_with_all_while_it_is_small(monkeypatch):
         score = g.nearest(g.x[300::20], 10, 128)[1]
         recall.append((score >= np.sort(g.x[300::20] @ g.x.T, axis=1)[:, -10:-9] - 1e-6).mean())
     assert min(recall) >= 0.95, recall
+
+
+def test_release_collects_the_heaps_of_executors(spark, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(session, "local", lambda spark: False)  # the driver's JVM is the executor here
+    before = full()
+    Scratch(spark, "heaps").release()
+    assert full() >= before + 2  # the driver's own and a task's
+
+
+def test_written_tables_have_no_more_files_than_they_are_worth(spark):
+    rows = spark.range(0, 1000, 1, 211)
+    few = session.files_for(rows)
+    assert few == session.WAVES * session.slots(spark) < 211
+    kept = Scratch(spark, "files", few).keep(rows, "rows")
+    assert len(kept.inputFiles()) == few and kept.agg({"id": "sum"}).first()[0] == 499500
+    assert len(Scratch(spark, "files").keep(rows, "rows").inputFiles()) == 211
+    big = spark.range(0, 100 * session.FILE_BYTES, 1, 4)  # eight bytes a row
+    assert session.files_for(big) == 800
+
+
+def test_a_worker_keeps_what_one_kind_of_task_needs(monkeypatch):
+    monkeypatch.setattr(session, "_kept", {})
+    one = session.kept("a", lambda: [1])
+    assert session.kept("a", list) is one and session.kept("b", list) == [] and list(session._kept) == ["b"]

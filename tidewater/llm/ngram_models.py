@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import kept
+
 #: Characters of a text hashed at once, and of many short ones together.
 SEGMENT, PIECE = 1 << 18, 1 << 15
 LANG_ORDERS, LANG_BITS, MOST_LANGS = (1, 2, 3), 16, 1024
@@ -174,6 +176,11 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
 # Toxicity
 
 
+def _slot() -> np.ndarray:
+    """Working memory with an entry for each bucket; what it holds does not matter."""
+    return kept("toxicity", lambda: np.zeros(1 << TOXIC_BITS, np.int32))
+
+
 def _distinct(text: str, slot: np.ndarray) -> np.ndarray:
     """The distinct buckets of a text; slot: working memory with an entry for each bucket."""
     out = []
@@ -257,7 +264,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     whole = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.zeros(1 << TOXIC_BITS, np.int32)
+        slot = _slot()
         for batch in _batches(it, 64):
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([_distinct(x.as_py(), slot).tobytes() for x in batch.column(2)], pa.binary())], ["h", "y", "f"])
 
@@ -302,7 +309,7 @@ def drop_toxic(docs: DataFrame, model: tuple[float, np.ndarray], least: float, t
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, ratio = shared.value
-        slot = np.zeros(1 << TOXIC_BITS, np.int32)
+        slot = _slot()
         for batch in _batches(it):
             yield batch.filter(pa.array(_toxic(batch.column(at), intercept, w, ratio, slot) < least))
 
@@ -317,7 +324,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         w, ratio = table
-        slot = np.zeros(1 << TOXIC_BITS, np.int32)
+        slot = _slot()
         for batch in _batches(it):
             yield pa.record_batch([batch.column(0), pa.array(_toxic(batch.column(1), intercept, w, ratio, slot))], ["id", "score"])
 

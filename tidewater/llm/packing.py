@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.hashing import words
-from tidewater.session import Scratch
+from tidewater.session import Scratch, kept
 
 CAPACITY, SMALL, GROUPS = 2048, 200, 60
 #: Words that a Python worker remembers, parts of words besides, and bytes of text that it takes at a time.
@@ -135,13 +135,8 @@ class WordTokenizer:
         return out  # type: ignore[return-value]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return kept(f"tokenizer {path}", lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -301,7 +296,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     before = tally.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).select("task", "length", "before")
     histogram = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     ranges, _ = plan(histogram, capacity)
-    spans = docs.sparkSession.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "length long, first long, times long, base long, offset long")
+    rows = np.array(ranges or [(0, 0, 0, 0, 0)], np.int64)  # as Arrow: rows of Python objects would start Python workers of another kind on the executors
+    spans = docs.sparkSession.createDataFrame(pa.table(list(rows.T), ["length", "first", "times", "base", "offset"]))
     by_length = spans.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "times", "base", "offset"))).alias("spans"))
     ranked = cut.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("k"))
     hit = F.filter("spans", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["times"]))[0]
